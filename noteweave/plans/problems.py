@@ -53,13 +53,13 @@ def _judged() -> str:
     cells = pick(lambda s: f"regexp_extract_all({real(s)} || line, '{s}({f(s)})', 1)")
     names = ",".join(raw_lines.FIELDS)
     flags = ", ".join(f"'{x}'" for x in [*raw_lines.TRUE, *raw_lines.FALSE, ""])
-    undone = "list_transform(cells, x -> CASE WHEN starts_with(x, '\"') THEN replace(substr(x, 2, length(x) - 2), '\"\"', '\"') ELSE x END)"
+    undone = "list_transform(cells, lambda x: CASE WHEN starts_with(x, '\"') THEN replace(substr(x, 2, length(x) - 2), '\"\"', '\"') ELSE x END)"
     return rf"""
 WITH a AS (SELECT line_id, line_no, file_name, {_LINE} AS line FROM hospital_icd_raw),
 b AS (SELECT *, {ok} AS well, {cells} AS cells FROM a),
 c AS (SELECT * REPLACE (CASE WHEN well THEN {undone} END AS cells) FROM b),
 d AS (SELECT *, CASE WHEN NOT regexp_matches(line, '\S') THEN 'blank'
-  WHEN line_no = 1 OR coalesce(array_to_string(list_transform(cells, x -> lower(trim(x))), ',') = '{names}', false) THEN 'header' ELSE 'line' END AS kind FROM c),
+  WHEN line_no = 1 OR coalesce(array_to_string(list_transform(cells, lambda x: lower(trim(x))), ',') = '{names}', false) THEN 'header' ELSE 'line' END AS kind FROM c),
 j AS (SELECT *, CASE WHEN kind <> 'line' THEN NULL WHEN NOT well THEN 'quoting' WHEN len(cells) <> 7 THEN 'column_count'
   WHEN NOT regexp_full_match(upper(regexp_replace(cells[1], '[^\p{{L}}\p{{N}}]', '', 'g')), '[A-Z][0-9][A-Z0-9]{{1,5}}') THEN 'code'
   WHEN NOT regexp_matches(cells[2], '\p{{L}}') THEN 'description'
