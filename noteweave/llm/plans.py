@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noteweave.llm import mixture, pieces, tokens
+from noteweave.llm import encoding, mixture, pieces, tokens
 from noteweave.session import spread, table
 
 
@@ -17,6 +17,14 @@ def p1_pieces(spark, d):
     return pieces.split_documents(table(spark, d, "clinical_documents"))
 
 
+def p3_found(spark, d):
+    return encoding.found(spark, table(spark, d, "clinical_documents"))
+
+
+def p3_restored(spark, d):
+    return encoding.restored(spark, table(spark, d, "clinical_documents"))
+
+
 def p8_ids(spark, d):
     return tokens.encode_documents(spark, spread(table(spark, d, "documents").select("doc_id", "text"), spark))
 
@@ -29,7 +37,7 @@ def p9_shares(spark, d):
     return mixture.shares(spark, table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
-_QUERIES = [p1_found, p1_pieces, p8_ids, p9_mixture, p9_shares]
+_QUERIES = [p1_found, p1_pieces, p3_found, p3_restored, p8_ids, p9_mixture, p9_shares]
 
 
 def queries() -> dict:
