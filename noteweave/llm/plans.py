@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noteweave.llm import encoding, mixture, pieces, tokens
+from noteweave.llm import encoding, mixture, pieces, sentences, tokens
 from noteweave.session import spread, table
 
 
@@ -37,7 +37,11 @@ def p9_shares(spark, d):
     return mixture.shares(spark, table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
-_QUERIES = [p1_found, p1_pieces, p3_found, p3_restored, p8_ids, p9_mixture, p9_shares]
+def p10_found(spark, d):
+    return sentences.units(spark, spread(table(spark, d, "documents").select("doc_id", "text"), spark)).distinct()
+
+
+_QUERIES = [p1_found, p1_pieces, p3_found, p3_restored, p8_ids, p9_mixture, p9_shares, p10_found]
 
 
 def queries() -> dict:
