@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noteweave.llm import encoding, mixture, pieces, sentences, tokens
+from noteweave.llm import canonical, encoding, mixture, pieces, sentences, tokens
 from noteweave.session import spread, table
 
 
@@ -17,6 +17,15 @@ def p1_pieces(spark, d):
     return pieces.split_documents(table(spark, d, "clinical_documents"))
 
 
+def p2_found(spark, d):
+    return canonical.map_candidates(table(spark, d, "diagnosis_candidates"), table(spark, d, "sample_hospital_icd"))
+
+
+def p2_report(spark, d):
+    rows = table(spark, d, "diagnosis_candidates").select("diagnosis_id", "entity_type").dropDuplicates(["diagnosis_id"])
+    return rows.join(p2_found(spark, d), "diagnosis_id").groupBy("entity_type").agg(F.count("*").alias("n"), F.count_if(F.col("code") == canonical.UNMATCHED).alias("n_unmatched"))
+
+
 def p3_found(spark, d):
     return encoding.found(spark, table(spark, d, "clinical_documents"))
 
@@ -41,7 +50,7 @@ def p10_found(spark, d):
     return sentences.units(spark, spread(table(spark, d, "documents").select("doc_id", "text"), spark)).distinct()
 
 
-_QUERIES = [p1_found, p1_pieces, p3_found, p3_restored, p8_ids, p9_mixture, p9_shares, p10_found]
+_QUERIES = [p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_restored, p8_ids, p9_mixture, p9_shares, p10_found]
 
 
 def queries() -> dict:
