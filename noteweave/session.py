@@ -36,3 +36,16 @@ def spread(df: DataFrame, spark: SparkSession) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     want = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(want)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, by a reliable checkpoint in the folder of spark.checkpoint.dir.
+
+    Where neither that setting nor the context names a folder (local tests), a temporary one is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="noteweave-checkpoints-"))
+    return df.checkpoint()
