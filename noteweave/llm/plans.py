@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noteweave.llm import canonical, encoding, mixture, pieces, scans, sentences, tokens
+from noteweave.llm import canonical, encoding, mixture, personal, pieces, scans, sentences, tokens
 from noteweave.session import spread, table
 
 
@@ -34,6 +34,14 @@ def p3_restored(spark, d):
     return encoding.restored(spark, table(spark, d, "clinical_documents"))
 
 
+def p4_found(spark, d):
+    return personal.found(spark, table(spark, d, "clinical_documents"), table(spark, d, "evidence_snippets"))
+
+
+def p4_redacted(spark, d):
+    return personal.redact(spark, table(spark, d, "clinical_documents"), table(spark, d, "evidence_snippets"))
+
+
 def p7_found(spark, d):
     return scans.found(spark, spread(table(spark, d, "clinical_documents").select("id", "text"), spark))
 
@@ -58,7 +66,7 @@ def p10_found(spark, d):
     return sentences.units(spark, spread(table(spark, d, "documents").select("doc_id", "text"), spark)).distinct()
 
 
-_QUERIES = [p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_restored, p7_found, p7_repaired, p8_ids, p9_mixture, p9_shares, p10_found]
+_QUERIES = [p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_restored, p4_found, p4_redacted, p7_found, p7_repaired, p8_ids, p9_mixture, p9_shares, p10_found]
 
 
 def queries() -> dict:
