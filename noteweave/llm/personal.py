@@ -76,7 +76,9 @@ WITHOUT = [
     "Назначен препарат VX-57 по 40 мг.", "VX-44を1日8回投与した。", "体温37.3度，血压平稳。", "Oxygen was weaned to 12 l per minute without difficulty.", "Physiotherapy assessed the patient and recommended long-term exercises.", "Before breakfast, the on-call physician observed a small {d}.",
     "Monitoring on the ward was uneventful.", "She remains afebrile and mobile with a frame.", "Follow-up in the outpatient clinic in 3 weeks.", "Family history is positive for {d} of the shoulder.", "Haemoglobin dropped by 3.9 g/dl without a bleeding source.",
     "Seen on 12.03.2021 at 14:30 in room 4021.", "Ref 0000087714797", "Lab order 20417733 was reviewed.", "Results (see lab.example.org/r.33) were normal.", "Imaging incl. CT, MRI etc. was declined.", "Vers. 2.1.7 of the pump firmware was installed.",
-    "Take {G} p.o. q.d. for 68 wk.", "{d} {D} type 98", "the {K} score was 12", "Page 2 of 4", "- 1 -", "Die Schwester wurde informiert.", "El niño respondió adecuadamente.", "A irmã acompanhou a avaliação.", "{F} test was negative.",
+    "ТЕЧЕНИЕ: Рана сухая, чистая… Боли нет!", "ЖАЛОБЫ: Была ли лихорадка? Аппетит сохранён, сон спокойный.", "АД 163/99 мм рт. ст., дыхание свободное.", "Отёк уменьшился к 65-му дню. Состояние стабильное, т. е. без ухудшения.", "Выписан под наблюдение по месту жительства.",
+    "ΙΣΤΟΡΙΚΟ: Η Α.Π. ήταν 143/81 mmHg. Δεν υπάρχει αλλεργία!", "Χορηγήθηκε VX-26 7,2 mg ημερησίως. Το τραύμα είναι καθαρό.", "La evolución clínica fue satisfactoria.", "Acudió a las 6 a.m. con dolor abdominal.", "A função renal está em recuperação…",
+    "Âge et poids ont été vérifiés à l’entrée.", "« Je dors mal. J’ai froid », précise la patiente.", "Die Patientin gab an: „Mir ist übel. Ich möchte schlafen.“", "The night nurse charted muscle weakness.", "The stoma nurse queried shallow breathing.", "Take {G} p.o. q.d. for 68 wk.", "{d} {D} type 98", "the {K} score was 12", "Page 2 of 4", "- 1 -", "Sheet 3 Confidential — {K} Clinic", "Sheet 12 ** {K} Hospital **", "~ 3 ~", "Die Schwester wurde informiert.", "El niño respondió adecuadamente.", "A irmã acompanhou a avaliação.", "{F} test was negative.",
 ]
 
 
@@ -119,7 +121,7 @@ class _Filler:
     def address(self) -> str:
         r, s, n, d = self.r, self.r.choice(_STREET), str(self.r.randint(1, 240)), self.d
         town = self.syllables(1).capitalize() + r.choice(_TOWN)
-        return r.choice([f"{n} {s} Lane, Apt {d(1)}, {town} {d(5)}", f"{n}b {s} Rd.", f"Flat {d(1)}, {n} {s} Gardens", f"{s} Ave. No. {n}", f"Calle {s} {n}, {d(1)}º B", f"{s}straße {n}, {d(5)} {town}", f"{n} {s} Street, {town}", f"{s} Road {n}", f"{n} rue {s}, {d(5)} {town}"])
+        return r.choice([f"{n} {s} Lane, Apt {d(1)}, {town} {d(5)}", f"{n}b {s} Rd.", f"Flat {d(1)}, {n} {s} Gardens", f"{s} Ave. No. {n}", f"Calle {s} {n}, {d(1)}º B", f"{s}straße {n}, {d(5)} {town}", f"{n} {s} Street, {town}", f"{s} Road {n}", f"{n} rue {s}, {d(5)} {town}", f"{n}, rue du {s}, {d(5)} {town}"])
 
     def value(self, key: str) -> list[tuple[str, str]]:
         """Text parts with their kind, '' for none."""
@@ -354,8 +356,8 @@ def train(rows: list[tuple[list[str], list[int]]] | None = None) -> Field:
 # ---- texts
 
 
-def _sound(kind: str, text: str) -> bool:
-    """An exact check of a found item: what its kind must contain at least."""
+def _sound(kind: str, text: str, before: str, after: str) -> bool:
+    """An exact check of a found item: what its kind must contain at least, and that it is no part of a damaged word."""
     digits = sum(c.isdigit() for c in text)
     letters = sum(c.isalpha() for c in text)
     if kind == "EMAIL":
@@ -365,8 +367,10 @@ def _sound(kind: str, text: str) -> bool:
     if kind == "ID_NUMBER":
         return digits >= 5
     if kind == "ADDRESS":
-        return digits >= 1 and letters >= 3
-    return letters >= 2
+        return digits >= 1 and bool(re.search(r"[A-Za-z]{3}", text))
+    whole = not before or before.isspace() or before in "([\"“„«'’‘-–—/:;,.|>*•·●。）"
+    latin = not text[0].islower() or " " in text or "\n" in text
+    return letters >= 2 and whole and latin and text[0] not in "ÃÂÆÐÎÏÑâå" and bool(re.search(r"[A-Za-z]", text)) and not (after and (after.isdigit() or after in "+!@√™°≈©"))
 
 
 def _segments(text: str) -> list[tuple[int, int]]:
@@ -422,7 +426,7 @@ class Finder:
                         items[-1] = (items[-1][0], b, kind)
                     else:
                         items.append((a, b, kind))
-                items = [x for x in items if _sound(x[2], s[x[0] : x[1]])]
+                items = [x for x in items if _sound(x[2], s[x[0] : x[1]], s[x[0] - 1 : x[0]] if x[0] else "", s[x[1] : x[1] + 1])]
             self.kept[s] = items
 
 
@@ -483,8 +487,9 @@ def _both(docs: DataFrame, snippets: DataFrame) -> DataFrame:
 
 def found(spark: SparkSession, docs: DataFrame, snippets: DataFrame) -> DataFrame:
     """(table_name, row_key, kind, nth) of every item."""
-    each = _both(docs, snippets).select("table_name", "row_key", kinds_in(spark)("text").alias("ks")).where(F.size("ks") > 0)
-    counts = [F.struct(F.lit(k).alias("kind"), F.size(F.filter("ks", lambda x, k=k: x == k)).alias("n")) for k in KINDS]
+    kinds = kinds_in(spark).asNondeterministic()  # evaluated once, not again in the filter
+    each = _both(docs, snippets).select("table_name", "row_key", kinds("text").alias("ks")).where(F.size("ks") > 0)
+    counts = [F.struct(F.lit(k).alias("kind"), (F.size("ks") - F.size(F.array_remove("ks", k))).alias("n")) for k in KINDS]
     per = each.select("table_name", "row_key", F.explode(F.array(*counts)).alias("c")).where("c.n > 0").groupBy("table_name", "row_key", "c.kind").agg(F.max("c.n").alias("n"))
     return per.select("table_name", "row_key", "kind", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
 
