@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteweave.plans import problems
+from noteweave.plans import catalogue_queries, problems
 
-MODULES = [problems]
+MODULES = [problems, catalogue_queries]
 
 
 def queries() -> dict:
