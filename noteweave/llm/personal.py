@@ -35,7 +35,7 @@ WIDTH, SENTENCES, EPOCHS, BATCH, SEED = 1 << 14, 3600, 7, 120, 11
 AROUND, KEPT, DECODE = (-3, -2, -1, 0, 1, 2, 3), 150_000, 1 << 14
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_BREAK = re.compile(r"\s*\n\s*\n\s*|\n(?=[^\S\n]*(?:[-*•·●]|\d{1,2}[.)])\s)|(?<=[^\W\d_]{4}[.!?])\s+(?=[^\W\d_a-zß-ÿ]|[•*\d-])|(?<=[。！？।])")
+_BREAK = re.compile(r"[\n 。！？।](?:(?<=[。！？।])|(?<=\n)(?:[^\S\n]*\n\s*|(?=[^\S\n]*(?:[-*•·●]|\d{1,2}[.)])\s))|(?<=[^\W\d_]{4}[.!?][\n ])(?=\s*(?:[^\W\d_a-zß-ÿ]|[•*\d-])))")
 
 
 # ---- the labelled table
@@ -231,24 +231,31 @@ class Field:
     def freeze(self) -> None:
         self._rows, self._sums = {"": 0}, np.zeros((1024, len(AROUND), len(LABELS)), dtype=np.float32)
 
-    def row(self, token: str) -> int:
-        """The row of a token's summed weights, for each neighbour position."""
-        got = self._rows.get(token)
-        if got is None:
-            if len(self._rows) > 400_000:
-                self.freeze()
-            got = self._rows[token] = len(self._rows)
-            if got >= len(self._sums):
-                self._sums = np.concatenate([self._sums, np.zeros_like(self._sums)])
-            self._sums[got] = self.w[:, self.slots(token), :].sum(axis=1)
-        return got
+    def learn(self, tokens: set[str]) -> None:
+        """Sum the weights of new tokens, for each neighbour position, into rows of their own."""
+        if len(self._rows) + len(tokens) > 400_000:
+            self.freeze()
+        new = [t for t in tokens if t not in self._rows]
+        if not new:
+            return
+        slots = [self.slots(t) for t in new]
+        starts = np.cumsum([0, *map(len, slots[:-1])])
+        flat = np.fromiter((x for v in slots for x in v), dtype=np.int64)
+        at = len(self._rows)
+        while at + len(new) > len(self._sums):
+            self._sums = np.concatenate([self._sums, np.zeros_like(self._sums)])
+        for j in range(len(AROUND)):
+            self._sums[at : at + len(new), j] = np.add.reduceat(self.w[j, flat], starts, axis=0)
+        self._rows.update(zip(new, range(at, at + len(new)), strict=True))
 
     def emissions(self, seqs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Padded scores (sequence, position, label) and lengths."""
         pad, lens = max(abs(a) for a in AROUND), np.array([len(s) for s in seqs])
         ids = np.zeros((len(seqs), lens.max() + 2 * pad), dtype=np.int64)
+        self.learn({x for s in seqs for x in s})
+        rows = self._rows
         for k, s in enumerate(seqs):
-            ids[k, pad : pad + len(s)] = [self.row(x) for x in s]
+            ids[k, pad : pad + len(s)] = [rows[x] for x in s]
         e = np.zeros((len(seqs), lens.max(), len(LABELS)), dtype=np.float32)
         for j, a in enumerate(AROUND):
             e += self._sums[ids[:, pad + a : pad + a + lens.max()], j]
@@ -382,7 +389,7 @@ def _segments(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
-_ZERO = str.maketrans("123456789", "000000000")
+_ZERO = bytes.maketrans(b"123456789", b"000000000")
 
 
 class Finder:
@@ -394,7 +401,10 @@ class Finder:
         self.kept: dict[str, list[tuple[int, int, str]]] = {}
 
     def batch(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
-        cut = [[(a, t[a:b].translate(_ZERO)) for a, b in _segments(t)] if t and not t.isspace() else [] for t in texts]
+        cut = []
+        for t in texts:
+            z = t.encode("utf-8", "surrogatepass").translate(_ZERO).decode("utf-8", "surrogatepass") if t and not t.isspace() else ""
+            cut.append([(a, z[a:b]) for a, b in _segments(z)])
         if len(self.kept) > KEPT:
             self.kept = {}
         new = sorted({s for c in cut for _, s in c if s not in self.kept}, key=len)
