@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from noteweave.functions import values as V
 
 _TRIM = r"(?U)^\s+|\s+$"
+#: Characters with their plain forms, and characters that are dropped.
+PLAIN_FROM, PLAIN_TO = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0\u2009", "''\"\"--  "
+DROPPED = "[\u200b\ufeff\r]"
 
 
 def trim(c: Column) -> Column:
@@ -84,8 +87,8 @@ def related_tokens(ts: Column) -> Column:
 
 def normalize_document(c: Column) -> Column:
     """Plain quotes, dashes and blanks; words hyphenated at line ends joined; lines trimmed; at most two breaks in a row."""
-    s = F.translate(c, "‘’“”–—  ", "''\"\"--  ")
-    s = F.regexp_replace(s, "[​﻿\r]", "")
+    s = F.translate(c, PLAIN_FROM, PLAIN_TO)
+    s = F.regexp_replace(s, DROPPED, "")
     s = F.regexp_replace(s, r"([a-zA-Z]{3,})-[ \t]*\n[ \t]*([a-zA-Z]{3,})", "$1$2")
     s = F.regexp_replace(s, r"[ \t]+", " ")
     s = F.regexp_replace(s, r" ?\n ?", "\n")

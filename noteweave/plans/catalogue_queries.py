@@ -20,12 +20,12 @@ def catalog_normalize_codes(spark, d):
 
 def catalog_list_bool_parse(spark, d):
     u = table(spark, d, "hospital_icd_uploads")
-    return u.select("row_id", F.array_join(T.parse_list(F.col("inclusion_terms")), "¦").alias("terms"), T.parse_flag(F.col("is_valid_billable")).alias("billable"))
+    return u.select("row_id", F.array_join(T.parse_list(F.col("inclusion_terms")), "¦").alias("terms"), T.parse_flag(F.col("is_valid_billable")).cast("string").alias("billable"))
 
 
 def catalog_dedup_merge(spark, d):
     m = C.merge_duplicates(_std(spark, d))
-    return m.select("clean", "first_ord", "formatted", "description", "billable", F.array_join("synonyms", "¦").alias("synonyms"), "n_rows")
+    return m.select("clean", "first_ord", "formatted", "description", F.col("billable").cast("string").alias("billable"), F.array_join("synonyms", "¦").alias("synonyms"), "n_rows")
 
 
 def catalog_stats(spark, d):
@@ -98,11 +98,11 @@ def sql() -> dict[str, str]:
     cat = f"(SELECT clean, arg_min(billable, ord) AS billable FROM ({sample}) WHERE ok GROUP BY clean)"
     return {
         "catalog_normalize_codes": f"SELECT row_id, {clean_sql()} AS clean, {formatted_sql()} AS formatted, {valid_sql()} AS is_valid FROM hospital_icd_uploads",
-        "catalog_list_bool_parse": f"SELECT row_id, array_to_string({list_sql('inclusion_terms')}, '¦') AS terms, {flag_sql()} AS billable FROM hospital_icd_uploads",
+        "catalog_list_bool_parse": f"SELECT row_id, array_to_string({list_sql('inclusion_terms')}, '¦') AS terms, CAST({flag_sql()} AS VARCHAR) AS billable FROM hospital_icd_uploads",
         "catalog_dedup_merge": f"""
 WITH s AS ({up}), o AS (SELECT * FROM s WHERE ok),
 e AS (SELECT clean, x, min((ord, i)) AS k FROM (SELECT clean, ord, unnest(synonyms) AS x, generate_subscripts(synonyms, 1) AS i FROM o) GROUP BY ALL)
-SELECT o.clean, min(ord) AS first_ord, arg_min(formatted, ord) AS formatted, arg_min(description, ord) AS description, arg_min_null(billable, ord) AS billable,
+SELECT o.clean, min(ord) AS first_ord, arg_min(formatted, ord) AS formatted, arg_min(description, ord) AS description, CAST(arg_min_null(billable, ord) AS VARCHAR) AS billable,
 coalesce((SELECT string_agg(x, '¦' ORDER BY k) FROM e WHERE e.clean = o.clean), '') AS synonyms, count(*) AS n_rows FROM o GROUP BY o.clean""",
         "catalog_stats": f"""
 SELECT count(*) AS n_rows, count(*) FILTER (NOT ok) AS n_malformed, count(*) FILTER (ok) AS n_valid, count(DISTINCT clean) FILTER (ok) AS n_codes, count(*) FILTER (ok AND billable) AS n_billable,

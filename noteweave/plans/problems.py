@@ -15,7 +15,8 @@ def p6_found(spark, d):
 
 
 def p6_loaded(spark, d):
-    return raw_lines.loaded_rows(table(spark, d, "hospital_icd_raw"))
+    rows = raw_lines.loaded_rows(table(spark, d, "hospital_icd_raw"))
+    return rows.withColumn("is_valid_billable", F.col("is_valid_billable").cast("string"))
 
 
 def p6_summary(spark, d):
@@ -76,6 +77,6 @@ def sql() -> dict[str, str]:
         "p6_loaded": _judged()
         + rf"""
 SELECT line_id, upper(regexp_replace(cells[1], '[^\p{{L}}\p{{N}}]', '', 'g')) AS code, {trim(2)} AS description,
-CASE WHEN lower({trim(3)}) IN ({true}) THEN true WHEN lower({trim(3)}) IN ({false}) THEN false END AS is_valid_billable, {rest}
+CASE WHEN lower({trim(3)}) IN ({true}) THEN 'true' WHEN lower({trim(3)}) IN ({false}) THEN 'false' END AS is_valid_billable, {rest}
 FROM j WHERE kind = 'line' AND reason IS NULL""",
     }
