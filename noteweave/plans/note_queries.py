@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noteweave import pipeline
 from noteweave.functions import text as T
 from noteweave.functions import values as V
+from noteweave.operators import matching
 from noteweave.operators import notes as N
 from noteweave.plans.retrieval_queries import expand_sql, map_sql, q, tokens_sql
 from noteweave.session import table
@@ -91,7 +93,20 @@ def evidence_merge(spark, d):
     return N.merge_quotes(table(spark, d, "evidence_snippets"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, page_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
+def concept_match(spark, d):
+    """The concept score of each written term against the descriptions of its normalised form's entry."""
+    c = table(spark, d, "diagnosis_candidates").where("normalized_diagnosis is not null and raw_term is not null").select(F.lower(F.trim("normalized_diagnosis")).alias("key"), F.col("raw_term").alias("concept")).distinct()
+    s = table(spark, d, "sample_hospital_icd").where("description is not null").select(F.lower("description").alias("key"), "code", "description").distinct()
+    pairs = c.join(s, "key").withColumn("evidence", F.lit(""))
+    return matching.score_pairs(pairs).select("code", "concept", "score", "exact")
+
+
+def pipeline_codes(spark, d):
+    """The batch pipeline's codes for every distinct written term."""
+    return pipeline.code_mentions(_mentions(spark, d), table(spark, d, "sample_hospital_icd"))
+
+
+QUERIES = {f.__name__: f for f in (concept_match, pipeline_codes, text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, page_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
 
 
 def cue_sql(c: str, cues: list[str]) -> str:
