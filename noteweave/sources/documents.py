@@ -1,7 +1,7 @@
 """Documents from files: format detection, decoding, page offsets and the need for text recognition.
 
 Cases: an unknown format counts as text if its bytes are UTF-8, else as UNKNOWN; undecodable bytes fall back to a
-single-byte encoding, which never fails; empty files are EMPTY.
+single-byte encoding, which never fails; texts without a letter are EMPTY. Files without any byte aren't listed by the reader.
 """
 
 from __future__ import annotations
