@@ -8,6 +8,7 @@ from noteweave import pipeline
 from noteweave.functions import text as T
 from noteweave.functions import values as V
 from noteweave.operators import matching
+from noteweave.operators import mentions as X
 from noteweave.operators import notes as N
 from noteweave.plans.retrieval_queries import expand_sql, map_sql, q, tokens_sql
 from noteweave.session import table
@@ -106,7 +107,19 @@ def pipeline_codes(spark, d):
     return pipeline.code_mentions(_mentions(spark, d), table(spark, d, "sample_hospital_icd"))
 
 
-QUERIES = {f.__name__: f for f in (concept_match, pipeline_codes, text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, page_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
+def mention_extract(spark, d):
+    return X.extract(_docs(spark, d), table(spark, d, "sample_hospital_icd")).select("id", "line_no", "code", "polarity")
+
+
+def mention_sections(spark, d):
+    """How often each section names an affirmed, negated or uncertain entry, by the longest phrases only."""
+    docs = _docs(spark, d)
+    m = X.longest(X.extract(docs, table(spark, d, "sample_hospital_icd"))).withColumn("key", F.xxhash64("id", "line_no", "phrase"))
+    at = N.section_at(m.select("key", "id", F.col("start_char").alias("at")), N.sections(docs))
+    return m.join(at, "key").groupBy("section", "polarity").agg(F.count("*").alias("n_mentions"))
+
+
+QUERIES = {f.__name__: f for f in (mention_extract, mention_sections, concept_match, pipeline_codes, text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, page_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
 
 
 def cue_sql(c: str, cues: list[str]) -> str:
@@ -147,7 +160,13 @@ def sql() -> dict[str, str]:
     side = f"CASE WHEN {cue_sql('quote', ['bilateral', 'both'])} THEN 'BILATERAL' WHEN {cue_sql('quote', ['right', 'rt'])} THEN 'RIGHT' WHEN {cue_sql('quote', ['left', 'lt'])} THEN 'LEFT' ELSE 'NONE' END"
     pol = f"CASE WHEN {cue_sql('quote', V.NEGATION)} THEN 'NEGATED' WHEN {cue_sql('quote', V.UNCERTAINTY)} OR contains(quote, '?') THEN 'UNCERTAIN' ELSE 'AFFIRMED' END"
     high = ", ".join(map(q, V.HIGH_YIELD))
+    pol_line = pol.replace("quote", "line")
+    plain = "' ' || array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ') || ' '"
     return {
+        "mention_extract": f"""
+WITH {sections_sql()}, e AS (SELECT {plain.format(c="description")} AS phrase, min(code) AS code FROM sample_hospital_icd WHERE description IS NOT NULL GROUP BY 1 HAVING trim(phrase) <> ''),
+x AS (SELECT id, line_no, line, {plain.format(c="line")} AS plain FROM l)
+SELECT id, CAST(line_no AS INTEGER) AS line_no, code, {pol_line} AS polarity FROM x JOIN e ON contains(plain, phrase)""",
         "text_normalize": f"SELECT doc_id, length(n) AS n_chars_after, md5(n) AS digest FROM (SELECT doc_id, {norm} AS n FROM documents WHERE text IS NOT NULL)",
         "abbreviation_expand": f"SELECT DISTINCT md5(quote) AS key, {expand_sql('quote')} AS expanded FROM evidence_snippets WHERE quote IS NOT NULL",
         "token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY token",
