@@ -78,7 +78,7 @@ class Encoder:
         self.split = regex.compile(PATTERN).findall
         self.byte_ids = byte_ids
         self.known: dict[str, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         m = pd.DataFrame(merges, columns=["a", "b", "r", "n"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
 
