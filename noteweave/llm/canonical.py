@@ -143,6 +143,9 @@ def similar(left: DataFrame, right: DataFrame, lkey: str, rkey: str, least: floa
     rarity = left.select(F.explode("members").alias("member")).unionByName(right.select(F.explode("members").alias("member"))).groupBy("member").agg(F.count("*").alias("rarity"))
     a = _prefixes(left, lkey, rarity, least, share).withColumnsRenamed({"n": "na", "position": "pa"})
     b = _prefixes(right, rkey, rarity, least, share).withColumnsRenamed({"n": "nb", "position": "pb"})
+    spark = left.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    a, b = a.repartition(tasks, "member"), b.repartition(tasks, "member")  # few bytes go in, many pairs come out: not to be coalesced by size
     long_enough = (F.col("nb") >= F.col("na") * least) & (F.col("na") >= F.col("nb") * least)
     # shared so far at most min(pa, pb), and what follows on either side
     reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
