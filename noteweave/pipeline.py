@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteweave.functions import text as T
-from noteweave.operators import catalogue, matching, notes, retrieval, store
+from noteweave.operators import catalogue, matching, mentions, notes, retrieval, store
+from noteweave.sources import documents
 
 
 @dataclass
@@ -25,11 +26,11 @@ class Run:
     error: str | None = None
 
 
-def code_mentions(mentions: DataFrame, cat: DataFrame, k: int = 10) -> DataFrame:
+def code_mentions(found: DataFrame, cat: DataFrame, k: int = 10) -> DataFrame:
     """(term, code, final, exact): the best entry of every distinct term, by lexical retrieval and the concept score."""
     merged = catalogue.merge_duplicates(catalogue.standard_rows(cat))
     docs = merged.select(F.col("first_ord").alias("row_id"), T.clinical_tokens(F.concat_ws(" ", "clean", "description", F.array_join("synonyms", " "))).alias("tokens"))
-    terms = mentions.where("raw_term is not null").select(F.lower(F.trim("raw_term")).alias("term")).where("term <> ''").distinct()
+    terms = found.where("raw_term is not null").select(F.lower(F.trim("raw_term")).alias("term")).where("term <> ''").distinct()
     queries = terms.select(F.xxhash64("term").alias("query_id"), "term", T.clinical_tokens(F.col("term")).alias("tokens")).where(F.size("tokens") > 0)
     hits = retrieval.top_k(retrieval.lexical(queries.select("query_id", "tokens"), docs, 350), k, score="lexical")
     cols = merged.select(F.col("first_ord").alias("row_id"), F.col("formatted").alias("code"), "description", "billable")
@@ -37,7 +38,7 @@ def code_mentions(mentions: DataFrame, cat: DataFrame, k: int = 10) -> DataFrame
     return matching.best_match(matching.score_pairs(pairs), "term")
 
 
-def run(spark: SparkSession, docs: DataFrame, mentions: DataFrame, cat: DataFrame, folder: str | None = None) -> Run:
+def run(spark: SparkSession, docs: DataFrame, candidates: DataFrame, cat: DataFrame, folder: str | None = None) -> Run:
     """Sections, latest mentions, codes, roles and outcomes; written to `folder` if given (then timings are of the work)."""
     r = Run()
 
@@ -56,9 +57,31 @@ def run(spark: SparkSession, docs: DataFrame, mentions: DataFrame, cat: DataFram
         r.ms[f"{name}_ms"] = round(1000 * (time.time() - began))
 
     stage("parsing", lambda: notes.sections(docs))
-    stage("extraction", lambda: notes.latest_mentions(mentions))
+    stage("extraction", lambda: notes.latest_mentions(candidates))
     stage("retrieval", lambda: code_mentions(r.tables["extraction"], cat))
     stage("classification", lambda: notes.rank_roles(r.tables["extraction"]))
     stage("serialization", lambda: store.document_status(docs, r.tables["extraction"]))
     r.ms["total_ms"] = sum(r.ms.values())
     return r
+
+
+def code_text(spark: SparkSession, text: str, cat: DataFrame) -> DataFrame:
+    """One note: the catalogue entries it names, with polarity, the longest phrases only."""
+    return mentions_of(spark.createDataFrame([(0, text)], "id long, text string"), cat)
+
+
+def code_files(spark: SparkSession, path: str, cat: DataFrame) -> DataFrame:
+    """Files of notes: the entries named in each; files that can't be read as text have a status and no entry."""
+    files = documents.read_documents(spark, path).withColumn("id", F.xxhash64("path"))
+    named = mentions_of(files.where("status = 'READY'").select("id", "text"), cat)
+    return files.select("id", "path", "status").join(named, "id", "left")
+
+
+def mentions_of(docs: DataFrame, cat: DataFrame) -> DataFrame:
+    return mentions.longest(mentions.extract(docs, cat)).select("id", "line_no", "code", "phrase", "polarity")
+
+
+def batch_report(files: DataFrame, seconds: float) -> DataFrame:
+    """Counters of a batch and its throughput."""
+    one = files.select("id", "status").distinct()
+    return one.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "READY").alias("n_done"), F.count_if(F.col("status") != "READY").alias("n_failed")).withColumn("per_second", F.round(F.col("n") / max(seconds, 0.001), 2))

@@ -52,3 +52,12 @@ def scan_status(pages: DataFrame) -> DataFrame:
     n = F.length(F.trim(F.coalesce("text", F.lit(""))))
     g = pages.groupBy("document_id").agg(F.sum(n).alias("chars"), F.min((F.coalesce("has_image", F.lit(False)) & (n < LEAST_PAGE)).cast("int")).alias("scanned"))
     return g.select("document_id", F.when((F.col("scanned") == 1) & (F.col("chars") < LEAST_DOCUMENT), "NEEDS_OCR").when(F.col("chars") < LEAST_DOCUMENT, "INSUFFICIENT_TEXT").otherwise("READY").alias("status"))
+
+
+def reading_order(boxes: DataFrame) -> DataFrame:
+    """(page_id, text, confidence) of recognised boxes (page_id, x, y, text, confidence): top to bottom, left to right.
+
+    A page's boxes make one text; a page without confidences counts as 0.85.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda b: b["text"])
+    return boxes.groupBy("page_id").agg(F.array_join(ordered, "\n").alias("text"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.85)), 4).alias("confidence"))
