@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from noteweave.operators import catalogue as C
 from noteweave.operators import matching as M
@@ -119,4 +118,3 @@ def test_empty_store(spark, name):
 def test_sessions(spark):
     e = spark.sql("select 1L user_id, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, m) ts from values (0), (10), (60) v(m)")
     assert tuple(S.run_sessions(e).first()) == (1, 2, 2)
-    assert F is not None
