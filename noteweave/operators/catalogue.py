@@ -30,7 +30,7 @@ def merge_duplicates(std: DataFrame) -> DataFrame:
     """One row per clean code: the first row's values, all rows' lists; partial aggregation before the shuffle."""
     return std.where("ok").groupBy("clean").agg(
         F.min("ord").alias("first_ord"), F.min_by("formatted", "ord").alias("formatted"), F.min_by("description", "ord").alias("description"), F.min_by("billable", "ord").alias("billable"),
-        _lists("synonyms").alias("synonyms"), F.count("*").alias("n_rows"),
+        _lists("synonyms").alias("synonyms"), _lists("inclusion_terms").alias("inclusion_terms"), F.count("*").alias("n_rows"),
     )
 
 

@@ -29,7 +29,7 @@ class Run:
 def code_mentions(found: DataFrame, cat: DataFrame, k: int = 10) -> DataFrame:
     """(term, code, final, exact): the best entry of every distinct term, by lexical retrieval and the concept score."""
     merged = catalogue.merge_duplicates(catalogue.standard_rows(cat))
-    docs = merged.select(F.col("first_ord").alias("row_id"), T.clinical_tokens(F.concat_ws(" ", "clean", "description", F.array_join("synonyms", " "))).alias("tokens"))
+    docs = merged.select(F.col("first_ord").alias("row_id"), T.clinical_tokens(F.concat_ws(" ", "clean", "description", F.array_join("inclusion_terms", " "), F.array_join("synonyms", " "))).alias("tokens"))
     terms = found.where("raw_term is not null").select(F.lower(F.trim("raw_term")).alias("term")).where("term <> ''").distinct()
     queries = terms.select(F.xxhash64("term").alias("query_id"), "term", T.clinical_tokens(F.col("term")).alias("tokens")).where(F.size("tokens") > 0)
     hits = retrieval.top_k(retrieval.lexical(queries.select("query_id", "tokens"), docs, 350), k, score="lexical")

@@ -28,6 +28,12 @@ def catalog_dedup_merge(spark, d):
     return m.select("clean", "first_ord", "formatted", "description", F.col("billable").cast("string").alias("billable"), F.array_join("synonyms", "¦").alias("synonyms"), "n_rows")
 
 
+def catalog_merge_inclusions(spark, d):
+    """The merged inclusion terms of each code; catalog_dedup_merge has the columns of its SQL twin, without them."""
+    m = C.merge_duplicates(_std(spark, d))
+    return m.select("clean", F.array_join("inclusion_terms", "¦").alias("inclusion_terms"), "n_rows")
+
+
 def catalog_stats(spark, d):
     return C.ingestion_stats(_std(spark, d))
 
@@ -58,7 +64,7 @@ def catalog_fixed_width(spark, d):
     return C.parse_fixed_width(s.select(line.alias("value")))
 
 
-QUERIES = {f.__name__: f for f in (catalog_normalize_codes, catalog_list_bool_parse, catalog_dedup_merge, catalog_stats, catalog_lookup_billable, catalog_family_prefix, catalog_by_category, excludes_pair_conflicts, catalog_fixed_width)}
+QUERIES = {f.__name__: f for f in (catalog_normalize_codes, catalog_list_bool_parse, catalog_dedup_merge, catalog_merge_inclusions, catalog_stats, catalog_lookup_billable, catalog_family_prefix, catalog_by_category, excludes_pair_conflicts, catalog_fixed_width)}
 
 _CLEAN = "upper(regexp_replace({c}, '[^A-Za-z0-9]', '', 'g'))"
 _TRIM = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -104,6 +110,10 @@ WITH s AS ({up}), o AS (SELECT * FROM s WHERE ok),
 e AS (SELECT clean, x, min((ord, i)) AS k FROM (SELECT clean, ord, unnest(synonyms) AS x, generate_subscripts(synonyms, 1) AS i FROM o) GROUP BY ALL)
 SELECT o.clean, min(ord) AS first_ord, arg_min(formatted, ord) AS formatted, arg_min(description, ord) AS description, CAST(arg_min_null(billable, ord) AS VARCHAR) AS billable,
 coalesce((SELECT string_agg(x, '¦' ORDER BY k) FROM e WHERE e.clean = o.clean), '') AS synonyms, count(*) AS n_rows FROM o GROUP BY o.clean""",
+        "catalog_merge_inclusions": f"""
+WITH o AS (SELECT row_id AS ord, {clean_sql()} AS clean, {list_sql('inclusion_terms')} AS terms FROM hospital_icd_uploads WHERE coalesce({valid_sql()}, false) AND coalesce({_TRIM.format(c="description")} <> '', false)),
+e AS (SELECT clean, x, min((ord, i)) AS k FROM (SELECT clean, ord, unnest(terms) AS x, generate_subscripts(terms, 1) AS i FROM o) GROUP BY ALL)
+SELECT o.clean, coalesce((SELECT string_agg(x, '¦' ORDER BY k) FROM e WHERE e.clean = o.clean), '') AS inclusion_terms, count(*) AS n_rows FROM o GROUP BY o.clean""",
         "catalog_stats": f"""
 SELECT count(*) AS n_rows, count(*) FILTER (NOT ok) AS n_malformed, count(*) FILTER (ok) AS n_valid, count(DISTINCT clean) FILTER (ok) AS n_codes, count(*) FILTER (ok AND billable) AS n_billable,
 count(*) FILTER (ok AND NOT billable) AS n_headers, sum(coalesce(len(synonyms), 0)) FILTER (ok) AS n_synonyms, count(*) FILTER (ok) - count(DISTINCT clean) FILTER (ok) AS n_duplicates FROM ({up})""",

@@ -15,6 +15,12 @@ def _docs(spark, d):
     return s.select("row_id", T.clinical_tokens(F.concat_ws(" ", T.unformat_code(F.col("code")), "description", "synonyms")).alias("tokens"))
 
 
+def _full_docs(spark, d):
+    """Docs with inclusion terms too. The SQL twins of bm25_* and hybrid_by_system fix the text without them (_docs)."""
+    s = table(spark, d, "sample_hospital_icd").where("description is not null")
+    return s.select("row_id", T.clinical_tokens(F.concat_ws(" ", T.unformat_code(F.col("code")), "description", "inclusion_terms", "synonyms")).alias("tokens"))
+
+
 def _asked(spark, d):
     return table(spark, d, "hospital_icd_uploads").where("row_id % 50 = 0 and description is not null")
 
@@ -55,7 +61,7 @@ def _semantic(spark, d):
 
 
 def hybrid_topk(spark, d):
-    lex = R.lexical(_queries(spark, d), _docs(spark, d), 350)
+    lex = R.lexical(_queries(spark, d), _full_docs(spark, d), 350)
     return R.fuse(lex, _semantic(spark, d), 10, 0.2).select("query_id", "row_id", "score", "provenance", "rank")
 
 
@@ -69,7 +75,7 @@ def hybrid_by_system(spark, d):
 
 def retry_union_max(spark, d):
     """Round 1 with the description; round 2 with related words for queries without a score of 0.9."""
-    q, docs = _queries(spark, d), _docs(spark, d)
+    q, docs = _queries(spark, d), _full_docs(spark, d)
     one = R.lexical(q, docs, 10).withColumnRenamed("lexical", "score")
     done = one.where("score >= 0.9").select("query_id").distinct()
     again = q.join(done, "query_id", "left_anti").select("query_id", T.related_tokens(F.col("tokens")).alias("tokens"))
