@@ -59,8 +59,9 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return out.drop("__d", "__c", "__core")
 
 
-def best_match(scored: DataFrame, key: str, least: float = 0.35) -> DataFrame:
-    """The best code of each key: the score against a candidate's retrieval score, headers at a discount."""
+def best_match(scored: DataFrame, key: str | list[str], least: float = 0.35) -> DataFrame:
+    """The best code of each key (one column or several): the score against a candidate's retrieval score, headers at a discount."""
     s = F.col("score") * F.when(F.coalesce("billable", F.lit(True)), 1.0).otherwise(0.3)
     final = scored.withColumn("final", F.round(0.85 * s + 0.15 * F.coalesce("retrieval_score", F.lit(0.0)), 4)).where(F.col("final") >= least)
-    return final.groupBy(key).agg(F.min_by(F.struct("code", "final", "exact"), F.struct(-F.col("final"), F.col("code"))).alias("b")).select(key, "b.*")
+    keys = [key] if isinstance(key, str) else key
+    return final.groupBy(*keys).agg(F.min_by(F.struct("code", "final", "exact"), F.struct(-F.col("final"), F.col("code"))).alias("b")).select(*keys, "b.*")

@@ -5,8 +5,10 @@ Cases: null terms stay null or count as empty; lists without items stay empty; r
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -74,6 +76,40 @@ def sentences_of(c: Column) -> Column:
     return F.filter(F.transform(s, T.trim), lambda x: x != "")
 
 
+#: Words of a term that don't tell whether a sentence is about it.
+UNTELLING = ("with", "without", "and", "the", "for", "left", "right", "acute", "chronic", "mild", "severe")
+
+
+def corroborate(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(document_id, term, evidence) of named (document_id, term, quotes): the quotes, then the document's sentences that
+    have at least half of the term's telling words (at least one), as they are or by a related word. What another item
+    contains, or contains it, is not added. A document's text meets its terms once, not per term and sentence.
+    """
+    texts = docs.where("text is not null and document_id is not null").groupBy("document_id").agg(F.min_by("text", "id").alias("text"))
+    per = named.where("document_id is not null").groupBy("document_id").agg(F.collect_list(F.struct("term", "quotes")).alias("terms"))
+    both = per.join(texts, "document_id", "left").select("document_id", "terms", F.coalesce(sentences_of(F.col("text")), F.array().cast("array<string>")).alias("sentences"))
+
+    def add(batches):
+        for pdf in batches:
+            out = []
+            for doc, terms, sentences in zip(pdf["document_id"], pdf["terms"], pdf["sentences"], strict=True):
+                lows = [(s, s.lower()) for s in sentences]
+                for t in terms:
+                    ws = [w for w in re.findall(r"\b[a-z0-9]{3,}\b", t["term"].lower()) if w not in UNTELLING]
+                    forms = [(w, *V.RELATED.get(w, ())) for w in ws]
+                    items = [q.strip() for x in t["quotes"] for q in x.split(" | ") if q.strip()]
+                    kept = [q.lower() for q in items]
+                    for s, low in lows if ws else ():
+                        if sum(any(f in low for f in fs) for fs in forms) >= max(1, len(ws) // 2) and not any(low in k or k in low for k in kept):
+                            items.append(s)
+                            kept.append(low)
+                    out.append((doc, t["term"], " | ".join(items)))
+            yield pd.DataFrame(out, columns=["document_id", "term", "evidence"])
+
+    alone = named.where("document_id is null").select("document_id", "term", F.array_join("quotes", " | ").alias("evidence"))
+    return both.mapInPandas(add, "document_id string, term string, evidence string").unionByName(alone)
+
+
 @pandas_udf(ArrayType(StringType()))
 def without_repetition(lists: pd.Series) -> pd.Series:
     """Evidence items: repeated ones and such as a longer item contains are left out, in order of appearance.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions import text as T
 from noteweave.operators import catalogue, matching, mentions, notes, retrieval, store
+from noteweave.operators import terms as terms_
 from noteweave.sources import documents
 
 
@@ -26,19 +27,29 @@ class Run:
     error: str | None = None
 
 
-def code_mentions(found: DataFrame, cat: DataFrame, k: int = 10) -> DataFrame:
-    """(term, code, final, exact): the best entry of every distinct term, by lexical retrieval and the concept score."""
+def code_mentions(found: DataFrame, cat: DataFrame, docs: DataFrame, snippets: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """(document_id, term, code, final, exact): the best entry of every term of a document, by lexical retrieval and the concept score.
+
+    Distinct terms are searched once; the evidence that a score looks at is the document's own: the mention's quotes
+    (snippets) and the sentences that corroborate the term.
+    """
     merged = catalogue.merge_duplicates(catalogue.standard_rows(cat))
-    docs = merged.select(F.col("first_ord").alias("row_id"), T.clinical_tokens(F.concat_ws(" ", "clean", "description", F.array_join("inclusion_terms", " "), F.array_join("synonyms", " "))).alias("tokens"))
-    terms = found.where("raw_term is not null").select(F.lower(F.trim("raw_term")).alias("term")).where("term <> ''").distinct()
+    text = F.concat_ws(" ", "clean", "description", F.array_join("inclusion_terms", " "), F.array_join("synonyms", " "))
+    entries = merged.select(F.col("first_ord").alias("row_id"), T.clinical_tokens(text).alias("tokens"))
+    all_ = found.where("raw_term is not null").withColumn("term", F.lower(F.trim("raw_term"))).where("term <> ''")
+    terms = all_.select("term").distinct()
     queries = terms.select(F.xxhash64("term").alias("query_id"), "term", T.clinical_tokens(F.col("term")).alias("tokens")).where(F.size("tokens") > 0)
-    hits = retrieval.top_k(retrieval.lexical(queries.select("query_id", "tokens"), docs, 350), k, score="lexical")
+    hits = retrieval.top_k(retrieval.lexical(queries.select("query_id", "tokens"), entries, 350), k, score="lexical")
+    quoted = all_.join(notes.merge_quotes(snippets), "diagnosis_id", "left") if snippets is not None else all_.withColumn("quotes", F.lit(None).cast("string"))
+    named = quoted.groupBy("document_id", "term").agg(F.array_sort(F.collect_set("quotes")).alias("quotes"))
+    evidence = terms_.corroborate(named, docs)
     cols = merged.select(F.col("first_ord").alias("row_id"), F.col("formatted").alias("code"), "description", "billable")
-    pairs = hits.join(cols, "row_id").join(queries.select("query_id", "term"), "query_id").select("term", "code", "description", F.col("term").alias("concept"), F.lit("").alias("evidence"), "billable", F.col("lexical").alias("retrieval_score"))
-    return matching.best_match(matching.score_pairs(pairs), "term")
+    pairs = hits.join(cols, "row_id").join(queries.select("query_id", "term"), "query_id").join(evidence, "term")
+    scored = matching.score_pairs(pairs.select("document_id", "term", "code", "description", F.col("term").alias("concept"), "evidence", "billable", F.col("lexical").alias("retrieval_score")))
+    return matching.best_match(scored, ["document_id", "term"])
 
 
-def run(spark: SparkSession, docs: DataFrame, candidates: DataFrame, cat: DataFrame, folder: str | None = None) -> Run:
+def run(spark: SparkSession, docs: DataFrame, candidates: DataFrame, cat: DataFrame, folder: str | None = None, snippets: DataFrame | None = None) -> Run:
     """Sections, latest mentions, codes, roles and outcomes; written to `folder` if given (then timings are of the work)."""
     r = Run()
 
@@ -58,7 +69,7 @@ def run(spark: SparkSession, docs: DataFrame, candidates: DataFrame, cat: DataFr
 
     stage("parsing", lambda: notes.sections(docs))
     stage("extraction", lambda: notes.latest_mentions(candidates))
-    stage("retrieval", lambda: code_mentions(r.tables["extraction"], cat))
+    stage("retrieval", lambda: code_mentions(r.tables["extraction"], cat, docs, snippets))
     stage("classification", lambda: notes.rank_roles(r.tables["extraction"]))
     stage("serialization", lambda: store.document_status(docs, r.tables["extraction"]))
     r.ms["total_ms"] = sum(r.ms.values())

@@ -21,7 +21,7 @@ def context_assessment(spark, d):
 
 def result_checks(spark, d):
     m, cat = _mentions(spark, d), table(spark, d, "sample_hospital_icd")
-    return X.checks(N.rank_roles(m), pipeline.code_mentions(m, cat), cat)
+    return X.checks(N.rank_roles(m), pipeline.code_mentions(m, cat, table(spark, d, "clinical_documents"), table(spark, d, "evidence_snippets")), cat)
 
 
 def result_text(spark, d):

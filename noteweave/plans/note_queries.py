@@ -103,8 +103,8 @@ def concept_match(spark, d):
 
 
 def pipeline_codes(spark, d):
-    """The batch pipeline's codes for every distinct written term."""
-    return pipeline.code_mentions(_mentions(spark, d), table(spark, d, "sample_hospital_icd"))
+    """The batch pipeline's codes for every distinct written term of a document."""
+    return pipeline.code_mentions(_mentions(spark, d), table(spark, d, "sample_hospital_icd"), _docs(spark, d), table(spark, d, "evidence_snippets"))
 
 
 def mention_extract(spark, d):

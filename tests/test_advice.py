@@ -1,5 +1,6 @@
 from noteweave import pipeline
 from noteweave.operators import catalogue as C
+from noteweave.operators import terms as X
 
 CATALOGUE = "row_id long, code string, description string, is_valid_billable string, inclusion_terms string, exclusion_terms string, synonyms string"
 
@@ -10,6 +11,19 @@ def test_inclusion_terms_are_merged_and_searched(spark):
     got = {r["clean"]: r["inclusion_terms"] for r in C.merge_duplicates(C.standard_rows(cat)).collect()}
     assert got == {"A011": ["p", "q", "torpid quillwort"], "B021": [], "C031": []}
     found = spark.createDataFrame([("d1", "First quillwort")], "document_id string, raw_term string")
-    hit = pipeline.code_mentions(found, cat).first()
-    plain = pipeline.code_mentions(found, cat.drop("inclusion_terms").selectExpr("*", "cast(null as string) inclusion_terms")).first()
+    docs = spark.createDataFrame([], "id long, document_id string, text string")
+    hit = pipeline.code_mentions(found, cat, docs).first()
+    plain = pipeline.code_mentions(found, cat.drop("inclusion_terms").selectExpr("*", "cast(null as string) inclusion_terms"), docs).first()
     assert hit["code"] == "A01.1" and hit["final"] > plain["final"]
+
+
+def test_lines_corroborate_terms_of_their_document(spark):
+    cat = spark.createDataFrame([(1, "A01.1", "Quillwort of left knee", "1", None, None, None), (2, "A01.2", "Quillwort of right knee", "1", None, None, None), (3, "B02.1", "Other matter", "1", None, None, None), (4, "C03.1", "Third", "1", None, None, None), (5, "D03.1", "Fourth", "1", None, None, None)], CATALOGUE)
+    found = spark.createDataFrame([("m1", "d1", "Quillwort knee"), ("m2", "d2", "quillwort knee"), ("m3", "d3", "quillwort knee"), ("m4", None, "quillwort knee")], "diagnosis_id string, document_id string, raw_term string")
+    docs = spark.createDataFrame([(1, "d1", "Seen today.\nQuillwort on the left. Well."), (2, "d2", "Quillwort on the right"), (3, "d3", None)], "id long, document_id string, text string")
+    snippets = spark.createDataFrame([("m3", "right side", 0)], "diagnosis_id string, quote string, start_char int")
+    got = {r["document_id"]: r["code"] for r in pipeline.code_mentions(found, cat, docs, snippets).collect()}
+    assert got == {"d1": "A01.1", "d2": "A01.2", "d3": "A01.2", None: "A01.1"}
+    named = spark.createDataFrame([("d1", "acute quillwort of torpid knee", ["quillwort on the left. and more"])], "document_id string, term string, quotes array<string>")
+    text = spark.createDataFrame([(1, "d1", "Quillwort on the left.\nA knee\nA KNEE of sorts\nTorpid and well\nNothing here")], "id long, document_id string, text string")
+    assert X.corroborate(named, text).first()["evidence"] == "quillwort on the left. and more | A knee | Torpid and well"
