@@ -15,11 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteweave.functions import text as T
+from noteweave.operators import matching, terms
+from noteweave.session import cut
+
 #: Public defaults of BM25, and the weights of fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC, LEXICAL, ONE_SIDED = 0.6, 0.4, 0.85
 #: Dimensions of hashed vectors; vectors in a packed block.
 DIMENSIONS, BLOCK = 384, 256
+#: Hits of either side that are fused; hits below which evidence is searched too; characters of the evidence searched.
+WINDOW, FEW, EVIDENCE = 350, 5, 120
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -118,13 +124,60 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return top_k(pairs.mapInPandas(best, "query_id bigint, row_id bigint, score double"), k)
 
 
-def fuse(lex: DataFrame, sem: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """(query_id, row_id, score, provenance, rank): weighted sum of both sides, or a share of the only one."""
+def fused(lex: DataFrame, sem: DataFrame) -> DataFrame:
+    """(query_id, row_id, score, provenance): weighted sum of both sides, or a share of the only one."""
     both = lex.join(sem, ["query_id", "row_id"], "full_outer")
     score = F.when(F.col("lexical").isNotNull() & F.col("semantic").isNotNull(), SEMANTIC * F.col("semantic") + LEXICAL * F.col("lexical")).otherwise(ONE_SIDED * F.coalesce("semantic", "lexical"))
     where = F.when(F.col("lexical").isNotNull() & F.col("semantic").isNotNull(), "hybrid").when(F.col("semantic").isNotNull(), "vector").otherwise("bm25")
-    scored = both.select("query_id", "row_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"), where.alias("provenance"))
-    return top_k(scored.where(F.col("score") >= least), k)
+    return both.select("query_id", "row_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"), where.alias("provenance"))
+
+
+def fuse(lex: DataFrame, sem: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """The best k of each query by the fused score, with their rank."""
+    return top_k(fused(lex, sem).where(F.col("score") >= least), k)
+
+
+def semantic(texts: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, row_id, semantic) > 0 of texts (id, text) against all vectors (id, vec)."""
+    hits = vector_search(dense(hashed_features(texts)), vectors, k)
+    return hits.where("score > 0").select("query_id", "row_id", F.round("score", 4).alias("semantic"))
+
+
+def hybrid(asked: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, least: float) -> DataFrame:
+    """The fused best k of asked (query_id, text) over windows of WINDOW on both sides."""
+    q = asked.select("query_id", T.clinical_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    texts = asked.select(F.col("query_id").alias("id"), T.expand_abbreviations(F.col("text")).alias("text"))
+    return fuse(lexical(q, docs, WINDOW), semantic(texts, vectors, WINDOW), k, least).select("query_id", "row_id", "score")
+
+
+def retry(asked: DataFrame, docs: DataFrame, vectors: DataFrame, entries: DataFrame, k: int = 10, least: float = 0.35) -> DataFrame:
+    """(query_id, row_id, score, round): the best k of asked (query_id, text, evidence) after up to three hybrid rounds.
+
+    Round 2 searches the variations of queries without an exact match or with fewer than k hits, round 3 the beginning of
+    the evidence of those without an exact match or with fewer than FEW hits, both with a lowered threshold. The best
+    score of an entry is then weighed against its concept score. entries: (row_id, code, description).
+    """
+
+    def judged(hits: DataFrame) -> DataFrame:
+        pairs = hits.withColumnRenamed("score", "found").join(entries, "row_id").join(asked.select("query_id", F.col("text").alias("concept"), "evidence"), "query_id")
+        return matching.score_pairs(pairs)
+
+    def still_open(hits: DataFrame, enough: int) -> DataFrame:
+        state = judged(hits).groupBy("query_id").agg(F.max("exact").alias("has"), F.count("*").alias("n"))
+        return asked.join(state, "query_id", "left").where(~F.coalesce("has", F.lit(False)) | (F.coalesce("n", F.lit(0)) < enough)).select("query_id", "text", "evidence")
+
+    vectors = cut(vectors)
+    one = cut(hybrid(asked, docs, vectors, k, least))
+    varied = cut(terms.query_variations(still_open(one, k)).withColumn("text_id", F.xxhash64("variation")))
+    texts = varied.select(F.col("text_id").alias("query_id"), F.col("variation").alias("text")).distinct()
+    found = hybrid(texts, docs, vectors, k, max(0.20, least - 0.10)).withColumnRenamed("query_id", "text_id")
+    two = cut(varied.join(found, "text_id").groupBy("query_id", "row_id").agg(F.max("score").alias("score")))
+    late = still_open(union_best([one, two]), FEW).where("trim(evidence) <> ''")
+    three = hybrid(late.select("query_id", F.col("evidence").substr(1, EVIDENCE).alias("text")), docs, vectors, k, max(0.15, least - 0.15))
+    all_ = judged(union_best([one, two, three]))
+    blend = F.greatest(F.col("found"), 0.8 * F.col("score") + 0.2 * F.col("found"))
+    final = F.round(F.when(F.col("exact"), F.greatest(blend, F.lit(0.98))).otherwise(blend), 4)
+    return top_k(all_.select("query_id", "row_id", final.alias("score"), "round"), k).select("query_id", "row_id", "score", "round")
 
 
 def union_best(rounds: list[DataFrame]) -> DataFrame:

@@ -48,6 +48,26 @@ def plain_name(c: Column) -> Column:
     return T.trim(F.lower(T.expand_abbreviations(s)))
 
 
+def query_variations(asked: DataFrame) -> DataFrame:
+    """(query_id, variation) of asked (query_id, text, evidence): the plain name, other names of its family, the words
+    without qualifiers, with a related word each, with all related words, and up to four words that the evidence shares.
+    """
+    none, rel = F.array().cast("array<string>"), T.literal_map(V.RELATED)
+    word = lambda c: T.tokens(F.lower(c), "[a-z0-9]+")
+    x = asked.select("query_id", "text", F.coalesce(plain_name(F.col("text")), F.lit("")).alias("norm"), F.coalesce(plain_name(F.col("evidence")), F.lit("")).alias("ev")).withColumn("ws", word(F.col("norm")))
+    x = x.withColumn("core", F.filter("ws", lambda w: ~w.isin(*V.QUALIFIERS))).withColumn("base", F.when(F.size("core") > 0, F.col("core")).otherwise(F.col("ws")))
+    family = F.lit(None).cast("array<string>")
+    for marks, names in reversed(V.FAMILIES):
+        family = F.when(F.col("norm").rlike("|".join(marks)), F.array(*map(F.lit, names))).otherwise(family)
+    swapped = F.transform("base", lambda w: F.coalesce(F.try_element_at(rel, w)[0], w))
+    shared = F.filter(T.tokens(F.col("ev"), "[a-z0-9]{4,}"), lambda w: F.array_contains(F.col("ws"), w) | F.arrays_overlap(F.coalesce(F.try_element_at(rel, w), none), F.col("ws")))
+    related = T.related_tokens(T.clinical_tokens(F.col("text")))
+    each = F.concat(
+        F.array("norm"), F.coalesce(family, none), F.array(F.array_join("core", " ")), F.array(F.array_join(swapped, " ")), F.array(F.array_join(related, " ")), F.when(F.size(shared) > 1, F.array(F.array_join(F.slice(shared, 1, 4), " "))).otherwise(none)
+    )
+    return x.select("query_id", "text", F.explode(F.array_distinct(F.transform(each, T.trim))).alias("variation")).where((F.length("variation") >= 2) & (F.col("variation") != F.lower(T.trim(F.col("text"))))).select("query_id", "variation")
+
+
 def entity_kind(c: Column) -> Column:
     out = F.when(F.coalesce(T.trim(c), F.lit("")) == "", "NONE")
     for kind, words in KINDS.items():

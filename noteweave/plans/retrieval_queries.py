@@ -74,12 +74,11 @@ def hybrid_by_system(spark, d):
 
 
 def retry_union_max(spark, d):
-    """Round 1 with the description; round 2 with related words for queries without a score of 0.9."""
-    q, docs = _queries(spark, d), _full_docs(spark, d)
-    one = R.lexical(q, docs, 10).withColumnRenamed("lexical", "score")
-    done = one.where("score >= 0.9").select("query_id").distinct()
-    again = q.join(done, "query_id", "left_anti").select("query_id", T.related_tokens(F.col("tokens")).alias("tokens"))
-    return R.union_best([one, R.lexical(again, docs, 10).withColumnRenamed("lexical", "score")])
+    """Hybrid rounds with the description, its variations and the row's own inclusion terms and synonyms as evidence."""
+    s = table(spark, d, "sample_hospital_icd").where("description is not null")
+    asked = _asked(spark, d).select(F.col("row_id").alias("query_id"), F.col("description").alias("text"), F.concat_ws(" ", "inclusion_terms", "synonyms").alias("evidence"))
+    vectors = R.dense(R.hashed_features(s.select(F.col("row_id").alias("id"), F.col("description").alias("text"))))
+    return R.retry(asked, _full_docs(spark, d), vectors, s.select("row_id", "code", "description"))
 
 
 def concept_jaccard(spark, d):

@@ -1,5 +1,7 @@
 from noteweave import pipeline
+from noteweave.functions import text as T
 from noteweave.operators import catalogue as C
+from noteweave.operators import retrieval as R
 from noteweave.operators import terms as X
 
 CATALOGUE = "row_id long, code string, description string, is_valid_billable string, inclusion_terms string, exclusion_terms string, synonyms string"
@@ -27,3 +29,23 @@ def test_lines_corroborate_terms_of_their_document(spark):
     named = spark.createDataFrame([("d1", "acute quillwort of torpid knee", ["quillwort on the left. and more"])], "document_id string, term string, quotes array<string>")
     text = spark.createDataFrame([(1, "d1", "Quillwort on the left.\nA knee\nA KNEE of sorts\nTorpid and well\nNothing here")], "id long, document_id string, text string")
     assert X.corroborate(named, text).first()["evidence"] == "quillwort on the left. and more | A knee | Torpid and well"
+
+
+def test_variations_of_a_query(spark):
+    asked = spark.createDataFrame([(1, "Acute primary hypertension", None), (2, "kidney stone", "stone in the renal pelvis"), (3, "plain", ""), (4, None, None)], "query_id long, text string, evidence string")
+    got = {}
+    for r in X.query_variations(asked).collect():
+        got.setdefault(r["query_id"], []).append(r["variation"])
+    assert got[1][:4] == ["essential primary hypertension", "essential hypertension", "hypertension", "primary hypertension"]
+    assert "renal calculus" in got[2] and "stone renal" in got[2] and got.keys() == {1, 2}
+
+
+def test_retry_reaches_vectors_variations_and_evidence(spark):
+    names = ["Quillwort torpor", "Essential hypertension", "Zanthic lesion", "Mossy bracket", "Fennel drift", "Quiet harbour", "Thistle gap", "Juniper fold"]
+    s = spark.createDataFrame([(i, f"A0{i}.1", n) for i, n in enumerate(names)], "row_id long, code string, description string")
+    docs = s.select("row_id", T.clinical_tokens(s["description"]).alias("tokens"))
+    vectors = R.dense(R.hashed_features(s.selectExpr("row_id as id", "description as text")))
+    asked = spark.createDataFrame([(1, "quillworts torpors", ""), (2, "stage 4 primary hypertension", ""), (3, "unheard of matter", "zanthic lesion"), (4, "Mossy bracket", "")], "query_id long, text string, evidence string")
+    got = {(r["query_id"], r["row_id"]): (r["score"], r["round"]) for r in R.retry(asked, docs, vectors, s).collect()}
+    assert (1, 0) in got and R.bm25(asked.where("query_id = 1").select("query_id", T.clinical_tokens(asked["text"]).alias("tokens")), docs).count() == 0
+    assert got[2, 1][1] == 2 and got[3, 2][1] == 3 and got[4, 3][0] >= 0.98
