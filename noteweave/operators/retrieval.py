@@ -137,6 +137,12 @@ def fuse(lex: DataFrame, sem: DataFrame, k: int, least: float = 0.0) -> DataFram
     return top_k(fused(lex, sem).where(F.col("score") >= least), k)
 
 
+def top_k_by_system(scored: DataFrame, systems: DataFrame, k: int) -> DataFrame:
+    """(query_id, chapter, row_id, score, provenance, rank): the best k of each query in each chapter. systems: (row_id, chapter)."""
+    each = scored.join(systems, "row_id").withColumn("key", F.struct("query_id", "chapter"))
+    return top_k(each, k, by="key").select("query_id", "chapter", "row_id", "score", "provenance", "rank")
+
+
 def semantic(texts: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, row_id, semantic) > 0 of texts (id, text) against all vectors (id, vec)."""
     hits = vector_search(dense(hashed_features(texts)), vectors, k)

@@ -56,8 +56,7 @@ def vector_topk(spark, d):
 def _semantic(spark, d):
     s = table(spark, d, "sample_hospital_icd").where("description is not null").select(F.col("row_id").alias("id"), F.col("description").alias("text"))
     q = _asked(spark, d).select(F.col("row_id").alias("id"), T.expand_abbreviations(F.col("description")).alias("text"))
-    hits = R.vector_search(R.dense(R.hashed_features(q)), R.dense(R.hashed_features(s)), 350)
-    return hits.where("score > 0").select("query_id", "row_id", F.round("score", 4).alias("semantic"))
+    return R.semantic(q, R.dense(R.hashed_features(s)), R.WINDOW)
 
 
 def hybrid_topk(spark, d):
@@ -66,13 +65,20 @@ def hybrid_topk(spark, d):
 
 
 def hybrid_by_system(spark, d):
-    """The best two of each query in each chapter of the catalogue; the window of 350 comes before the chapters."""
+    """The best two of each query in each chapter of the catalogue by the lexical score, as its SQL twin says; the window of 350 comes before the chapters."""
     lex = R.lexical(_queries(spark, d), _docs(spark, d), 350)
     chapter = table(spark, d, "sample_hospital_icd").select("row_id", F.col("code").substr(1, 1).alias("chapter"))
     both = lex.withColumnRenamed("lexical", "score").join(chapter, "row_id").withColumn("key", F.concat_ws("|", "query_id", "chapter"))
     return R.top_k(both, 2, by="key").select("query_id", "chapter", "row_id", "score", "rank")
 
 
+def hybrid_fused_by_system(spark, d):
+    """The best two of each query in each chapter by the fused score; the windows of 350 of both sides come before the chapters."""
+    both = R.fused(R.lexical(_queries(spark, d), _full_docs(spark, d), R.WINDOW), _semantic(spark, d))
+    chapter = table(spark, d, "sample_hospital_icd").select("row_id", F.col("code").substr(1, 1).alias("chapter"))
+    return R.top_k_by_system(both, chapter, 2)
+
+
 def retry_union_max(spark, d):
     """Hybrid rounds with the description, its variations and the row's own inclusion terms and synonyms as evidence."""
     s = table(spark, d, "sample_hospital_icd").where("description is not null")
@@ -88,7 +94,7 @@ def concept_jaccard(spark, d):
     return c.select("raw_term", "normalized_diagnosis", F.round(F.when(whole > 0, shared / whole).otherwise(0.0), 4).alias("jaccard"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_idf, bm25_topk, bm25_coverage, hash_embed, vector_topk, hybrid_topk, hybrid_by_system, retry_union_max, concept_jaccard)}
+QUERIES = {f.__name__: f for f in (bm25_idf, bm25_topk, bm25_coverage, hash_embed, vector_topk, hybrid_topk, hybrid_by_system, hybrid_fused_by_system, retry_union_max, concept_jaccard)}
 
 
 def q(s: str) -> str:

@@ -3,6 +3,7 @@ from noteweave.functions import text as T
 from noteweave.operators import catalogue as C
 from noteweave.operators import retrieval as R
 from noteweave.operators import terms as X
+from noteweave.plans import retrieval_queries
 
 CATALOGUE = "row_id long, code string, description string, is_valid_billable string, inclusion_terms string, exclusion_terms string, synonyms string"
 
@@ -49,3 +50,12 @@ def test_retry_reaches_vectors_variations_and_evidence(spark):
     got = {(r["query_id"], r["row_id"]): (r["score"], r["round"]) for r in R.retry(asked, docs, vectors, s).collect()}
     assert (1, 0) in got and R.bm25(asked.where("query_id = 1").select("query_id", T.clinical_tokens(asked["text"]).alias("tokens")), docs).count() == 0
     assert got[2, 1][1] == 2 and got[3, 2][1] == 3 and got[4, 3][0] >= 0.98
+
+
+def test_fused_scores_rank_within_chapters(spark, sf):
+    lex = spark.createDataFrame([(1, 1, 0.8), (1, 2, 0.9)], "query_id long, row_id long, lexical double")
+    sem = spark.createDataFrame([(1, 1, 0.9), (1, 3, 1.0), (1, 4, 0.5)], "query_id long, row_id long, semantic double")
+    chapter = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B")], "row_id long, chapter string")
+    got = sorted((r["chapter"], r["rank"], r["row_id"], r["provenance"]) for r in R.top_k_by_system(R.fused(lex, sem), chapter, 2).collect())
+    assert got == [("A", 1, 1, "hybrid"), ("A", 2, 3, "vector"), ("B", 1, 4, "vector")]
+    assert {"hybrid", "vector"} <= {r["provenance"] for r in retrieval_queries.hybrid_fused_by_system(spark, sf).collect()}
