@@ -35,7 +35,7 @@ def laterality_check(spark, d):
 
 
 def sentence_split(spark, d):
-    t = table(spark, d, "clinical_documents").where("text is not null and lang = 'en'")
+    t = table(spark, d, "clinical_documents").where("text is not null")
     return t.select("id", F.size(X.sentences_of(F.col("text"))).alias("n_sentences"))
 
 

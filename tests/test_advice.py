@@ -3,7 +3,7 @@ from noteweave.functions import text as T
 from noteweave.operators import catalogue as C
 from noteweave.operators import retrieval as R
 from noteweave.operators import terms as X
-from noteweave.plans import retrieval_queries
+from noteweave.plans import retrieval_queries, term_queries
 
 CATALOGUE = "row_id long, code string, description string, is_valid_billable string, inclusion_terms string, exclusion_terms string, synonyms string"
 
@@ -59,3 +59,8 @@ def test_fused_scores_rank_within_chapters(spark, sf):
     got = sorted((r["chapter"], r["rank"], r["row_id"], r["provenance"]) for r in R.top_k_by_system(R.fused(lex, sem), chapter, 2).collect())
     assert got == [("A", 1, 1, "hybrid"), ("A", 2, 3, "vector"), ("B", 1, 4, "vector")]
     assert {"hybrid", "vector"} <= {r["provenance"] for r in retrieval_queries.hybrid_fused_by_system(spark, sf).collect()}
+
+
+def test_every_note_with_text_is_split(spark, sf):
+    want = {r["id"] for r in spark.read.parquet(f"{sf}/clinical_documents.parquet").where("text is not null").collect()}
+    assert {r["id"] for r in term_queries.sentence_split(spark, sf).collect()} == want
