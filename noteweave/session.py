@@ -38,14 +38,23 @@ def spread(df: DataFrame, spark: SparkSession) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(want)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, by a reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> None:
+    """Make sure that checkpoints have a folder that all executors reach.
 
-    Where neither that setting nor the context names a folder (local tests), a temporary one is set.
+    The cluster names it in spark.checkpoint.dir. Only a master that runs in this very process may do without it: there a
+    temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+    sc = spark.sparkContext
+    if sc.getConf().get("spark.checkpoint.dir") is not None or not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
+    import tempfile
+
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="noteweave-checkpoints-"))
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="noteweave-checkpoints-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, by a reliable checkpoint in the folder of spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
