@@ -1,7 +1,7 @@
 """Parsing of delimited catalogue lines, with failed lines set apart (problem 6).
 
-Every line is judged by its structure in one JVM pass; the three typed columns are judged once per distinct value,
-and the invalid values (a small dictionary with a reason each) are joined back to the lines.
+Every line is taken apart in one JVM pass, whose result is cut; the three typed columns are judged once per distinct
+value, all three in one aggregation, and the invalid values (a small dictionary with a reason each) are joined back.
 
 Cases: a null or blank line and a header are neither valid nor failed. A line of an unknown file name counts as
 comma-separated. Lines that stand twice are judged twice. Extra input columns are carried along under their own names;
@@ -10,11 +10,11 @@ an input column with the name of an output column is replaced. Empty tables give
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noteweave.session import cut
+
 #: The seven columns of a catalogue file, in order.
 FIELDS = ["code", "description", "is_valid_billable", "category", "inclusion_terms", "exclusion_terms", "synonyms"]
 #: What counts as true and as false in is_valid_billable.
@@ -35,34 +35,38 @@ def _field(sep: str) -> str:
     return rf'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{sep}]*+)'
 
 
-def split_lines(lines: DataFrame) -> DataFrame:
-    """Add `kind` ('blank', 'header', 'line'), `structure` (null, 'quoting', 'column_count') and the seven fields."""
-    raw = F.regexp_replace(F.regexp_replace(F.coalesce("raw_line", F.lit("")), r"^\x{FEFF}", ""), r"\r+$", "")
-    tabbed = F.coalesce(F.lower("file_name").endswith(".tsv"), F.lit(False))
+def _taken_apart(line: Column, tabbed: Column) -> Column:
+    """(cells, well): the fields found from the start on, and whether nothing is left over; a line without quotes is split."""
 
     def by_sep(make) -> Column:
         return F.when(tabbed, make("\t")).otherwise(make(","))
 
-    line = F.col("__line")
-    well = by_sep(lambda s: line.rlike(rf"(?s)\A{_field(s)}(?:{s}{_field(s)})*+\z"))
-    cells = by_sep(lambda s: F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf"{s}({_field(s)})"), F.lit(1)))
-    undo = F.transform("__cells", lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-    names = F.array_join(F.transform("__cells", lambda x: F.lower(_trim(x))), ",")
+    # one match each for the fields in a row; the line is well-formed if they cover it
+    quoted = by_sep(lambda s: F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf"\G{s}({_field(s)})"), F.lit(1)))
+    plain = by_sep(lambda s: F.split(line, s))
+    return F.when(line.contains('"'), quoted).otherwise(plain)
+
+
+def split_lines(lines: DataFrame) -> DataFrame:
+    """Add `kind` ('blank', 'header', 'line'), `structure` (null, 'quoting', 'column_count') and the seven fields."""
+    raw = F.regexp_replace(F.regexp_replace(F.coalesce("raw_line", F.lit("")), r"^\x{FEFF}", ""), r"\r+$", "")
+    tabbed = F.coalesce(F.lower("file_name").endswith(".tsv"), F.lit(False))
+    line, cells = F.col("__line"), F.col("__cells")
+    covered = F.aggregate(cells, F.lit(0), lambda n, x: n + F.length(x) + 1) == F.length(line) + 1
+    undone = F.transform(cells, lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    names = F.array_join(F.transform("__undone", lambda x: F.lower(_trim(x))), ",")
+    header = F.coalesce(F.col("line_no") == 1, F.lit(False)) | F.coalesce((F.size("__undone") == len(FIELDS)) & F.lower(line).contains(FIELDS[2]) & (names == ",".join(FIELDS)), F.lit(False))
     out = (
-        lines.drop("__line", "__well", "__cells", "kind", "structure", *FIELDS)
+        lines.drop("__line", "__cells", "__undone", "kind", "structure", *FIELDS)
         .withColumn("__line", raw)
-        .withColumn("__well", well)
-        .withColumn("__cells", F.when(F.col("__well"), cells))
-        .withColumn("__cells", undo)
-        .withColumn(
-            "kind",
-            F.when(~line.rlike(r"(?U)\S"), "blank").when(F.coalesce(F.col("line_no") == 1, F.lit(False)) | F.coalesce(names == ",".join(FIELDS), F.lit(False)), "header").otherwise("line"),
-        )
-        .withColumn("structure", F.when(~F.col("__well"), "quoting").when(F.size("__cells") != len(FIELDS), "column_count"))
+        .withColumn("__cells", _taken_apart(line, tabbed))
+        .withColumn("__undone", F.when(covered, undone))
+        .withColumn("kind", F.when(~line.rlike(r"(?U)\S"), "blank").when(header, "header").otherwise("line"))
+        .withColumn("structure", F.when(F.col("__undone").isNull(), "quoting").when(F.size("__undone") != len(FIELDS), "column_count"))
     )
     for i, f in enumerate(FIELDS):
-        out = out.withColumn(f, F.when((F.col("kind") == "line") & F.col("structure").isNull(), F.get("__cells", F.lit(i))))
-    return out.drop("__line", "__well", "__cells")
+        out = out.withColumn(f, F.when((F.col("kind") == "line") & F.col("structure").isNull(), F.get("__undone", F.lit(i))))
+    return out.drop("__line", "__cells", "__undone")
 
 
 def clean_code(c: Column) -> Column:
@@ -77,36 +81,42 @@ def _invalid(field: str, value: Column) -> Column:
     return ~F.lower(_trim(value)).isin(*TRUE, *FALSE, "")
 
 
+#: The typed columns with their reason and the flag that marks an invalid value.
+_TYPED = {"code": "code", "description": "description", "is_valid_billable": "billable"}
+
+
 def invalid_values(parsed: DataFrame) -> DataFrame:
     """The dictionary (`field`, `value`, `reason`) of the distinct values that don't cast, over all lines."""
-    reason = {"code": "code", "description": "description", "is_valid_billable": "billable"}
-    each = [
-        parsed.where(F.col(f).isNotNull()).select(F.col(f).alias("value")).distinct().where(_invalid(f, F.col("value"))).select(F.lit(f).alias("field"), "value", F.lit(r).alias("reason"))
-        for f, r in reason.items()
-    ]
-    return reduce(DataFrame.unionByName, each)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(r).alias("reason")) for f, r in _TYPED.items()])).alias("v")
+    wrong = F.lit(False)
+    for f in _TYPED:
+        wrong = F.when(F.col("field") == f, _invalid(f, F.col("value"))).otherwise(wrong)
+    return parsed.select(each).select("v.*").where("value is not null").distinct().where(wrong)
 
 
 def judge_lines(lines: DataFrame) -> DataFrame:
     """All lines with their fields and `reason`: null for loaded rows, blanks and headers, else the first that applies."""
-    parsed = split_lines(lines)
+    parsed = cut(split_lines(lines))
     bad = invalid_values(parsed)
-    out = parsed.drop("__no_code", "__no_description", "__no_billable")
-    for f, flag in (("code", "__no_code"), ("description", "__no_description"), ("is_valid_billable", "__no_billable")):
+    flags = {f: f"__no_{r}" for f, r in _TYPED.items()}
+    out = parsed.drop(*flags.values())
+    for f, flag in flags.items():
         one = bad.where(F.col("field") == f).select(F.col("value").alias(f"__v_{f}"), F.lit(True).alias(flag))
         out = out.join(one, F.col(f) == F.col(f"__v_{f}"), "left").drop(f"__v_{f}")
-    first = F.when(F.col("structure").isNotNull(), F.col("structure")).when(F.col("__no_code"), "code").when(F.col("__no_description"), "description").when(F.col("__no_billable"), "billable")
-    return out.withColumn("reason", F.when(F.col("kind") == "line", first)).drop("structure", "__no_code", "__no_description", "__no_billable")
+    first = F.when(F.col("structure").isNotNull(), F.col("structure"))
+    for f, r in _TYPED.items():
+        first = first.when(F.col(flags[f]), r)
+    return out.withColumn("reason", F.when(F.col("kind") == "line", first)).drop("structure", *flags.values())
 
 
 def failed_lines(lines: DataFrame) -> DataFrame:
-    return judge_lines(lines).where(F.col("reason").isNotNull()).select("line_id", "reason").distinct()
+    return judge_lines(lines.select("line_id", "file_name", "line_no", "raw_line")).where(F.col("reason").isNotNull()).select("line_id", "reason").distinct()
 
 
 def loaded_rows(lines: DataFrame) -> DataFrame:
     """The rows that parse: code in upper case without stray marks, billable as boolean (null where empty)."""
     flag = F.lower(_trim(F.col("is_valid_billable")))
-    rows = judge_lines(lines).where((F.col("kind") == "line") & F.col("reason").isNull())
+    rows = judge_lines(lines.select("line_id", "file_name", "line_no", "raw_line")).where((F.col("kind") == "line") & F.col("reason").isNull())
     return rows.select(
         "line_id",
         clean_code(F.col("code")).alias("code"),

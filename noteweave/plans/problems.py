@@ -20,7 +20,7 @@ def p6_loaded(spark, d):
 
 
 def p6_summary(spark, d):
-    judged = raw_lines.judge_lines(table(spark, d, "hospital_icd_raw"))
+    judged = raw_lines.judge_lines(table(spark, d, "hospital_icd_raw").select("file_name", "line_no", "raw_line"))
     return judged.groupBy(F.coalesce("reason", F.when(F.col("kind") == "line", "loaded").otherwise(F.col("kind"))).alias("outcome")).agg(F.count("*").alias("n_lines"))
 
 
