@@ -1,13 +1,14 @@
 """Freely typed terms mapped to the entries of a reference list (problem 2).
 
 A prefix-filter set-similarity join, twice. First words: a word's set holds its letter pairs and letters; a typed word
-meets the words of the list only through its rarest members, past length and positional filters, and of those whose
-Jaccard similarity (verified exactly) is high enough the nearest by edits is kept. Then terms: a term's set holds its
+meets the words of the list only through two of its rarest members at once, past length and positional filters, and of
+those whose Jaccard similarity (verified exactly) is high enough the nearest by edits is kept. Then terms: a term's set holds its
 words so corrected; it meets the descriptions and synonyms through its rarest words, the Jaccard similarity is verified
 exactly and the best entry is kept. An entry is meant only if no word of substance is left over on either side.
 
-Scale: only distinct terms and distinct words are compared; members are ordered by their rarity over all words, so
-postings stay short; all joins are hash joins on a member, with no cross join. Nothing is collected but the fixed lists.
+Scale: only distinct terms and distinct words are compared; members are ordered by their rarity over all words. Letter
+pairs come from a small alphabet, so the key of the word join is a pair of members: postings are short. All joins are
+hash joins, with no cross join. Nothing is collected but the fixed lists.
 
 Cases: null and blank terms decide nothing; if raw_term says too little (no entry, or entries of several codes),
 normalized_diagnosis decides; if both do, the code is UNMATCHED. Ties go to the smaller code. An empty reference list
@@ -30,8 +31,8 @@ from noteweave.session import cut
 
 #: Least Jaccard similarity of two words and of two terms.
 WORDS_ALIKE, TERMS_ALIKE = 0.5, 0.7
-#: Members that two words, and two terms, must share within their prefixes, which are longer by as many less one.
-WORDS_SHARE, TERMS_SHARE = 4, 1
+#: Members that two words, and two terms, must share within their prefixes (longer by as many less one): the join key.
+WORDS_SHARE, TERMS_SHARE = 2, 1
 UNMATCHED = "UNMATCHED"
 #: What is written around a term without changing it.
 AROUND = [
@@ -53,9 +54,12 @@ MAY_LACK = ["with", "without", "following", "due"]
 
 _AROUND = [re.compile(p, re.I) for p in AROUND]
 _SIGNS = [(re.compile(p, re.I), w) for p, w in SIGNS.items()]
+_ANY = re.compile("|".join([*AROUND, *SIGNS]), re.I)
 
 
 def _fold(s: str) -> str:
+    if s.isascii():
+        return s.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
 
 
@@ -64,14 +68,15 @@ def term_words(text: str | None) -> list[str]:
     if text is None:
         return []
     s = _fold(text)
-    for p in _AROUND:
-        s = p.sub(" ", s)
-    for p, w in _SIGNS:
-        s = p.sub(w, s)
+    if _ANY.search(s):
+        for p in _AROUND:
+            s = p.sub(" ", s)
+        for p, w in _SIGNS:
+            s = p.sub(w, s)
     s = re.sub(r"\b(post|sub)-(?=[a-z])", r"\1", s)
     s = re.sub(r"['’]s\b", "", s)
     out = []
-    for w in re.findall(r"[a-z0-9]+", s):
+    for w in re.findall(r"[^\W_]+", s):
         w = SHORT.get(w, w)
         if w not in EMPTY and w not in out:
             out.append(w)
@@ -113,9 +118,17 @@ words_udf = pandas_udf(lambda s: pd.Series([term_words(x) for x in s]), ArrayTyp
 members_udf = pandas_udf(lambda s: pd.Series([word_members(x) for x in s]), ArrayType(StringType()))
 
 
+def slips(typed: str, listed: str) -> int | None:
+    """The edits between two words, None if there are too many; numbers inside words are never slips."""
+    if re.findall(r"\d+", typed) != re.findall(r"\d+", listed):
+        return None
+    n = edits(typed, listed, edits_allowed(listed))
+    return n if n <= edits_allowed(listed) else None
+
+
 @pandas_udf(IntegerType())
-def edits_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y, edits_allowed(y)) - (1000 if edits(x, y, edits_allowed(y)) <= edits_allowed(y) else 0) for x, y in zip(a, b, strict=True)], dtype="int32")
+def slips_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([slips(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def aliases(reference: DataFrame) -> DataFrame:
@@ -127,34 +140,37 @@ def aliases(reference: DataFrame) -> DataFrame:
     return both.withColumn("exact", F.col("alias").rlike(r"^[A-Z]{2,}x?(?:-?\d+)?$"))
 
 
-def _prefixes(sets: DataFrame, key: str, rarity: DataFrame, least: float, share: int) -> DataFrame:
-    """(key, n, position, member) of the rarest members, so many that two sets alike enough share `share` of them."""
+def _keys(sets: DataFrame, key: str, rarity: DataFrame, least: float, share: int) -> DataFrame:
+    """(key, n, position, k): the join keys of a set's prefix, its rarest members or pairs of them, with their first place.
+
+    The prefix is so long that two sets alike enough share `share` of it. Sets so small that they may be alike by a single
+    member also have single members as keys.
+    """
     each = sets.select(key, F.size("members").alias("n"), F.explode("members").alias("member")).join(rarity, "member")
-    ordered = each.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("rarity", "member")))
-    return ordered.where(F.col("position") <= F.col("n") - F.ceil(F.col("n") * least) + share).select(key, "n", "position", "member")
+    ordered = each.groupBy(key, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("rarity", "member"))), lambda x: x["member"]).alias("ms"))
+    prefix = lambda more: F.slice("ms", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + more).cast("int"))
+    single = F.transform(prefix(1), lambda m, i: F.struct((i + 1).alias("position"), F.xxhash64(m).alias("k")))
+    if share == 1:
+        keys = single
+    else:
+        pairs = F.flatten(F.transform(prefix(2), lambda m, i: F.transform(F.slice(prefix(2), i + 2, F.size("ms")), lambda o: F.struct((i + 1).alias("position"), F.xxhash64(F.least(m, o), F.greatest(m, o)).alias("k")))))
+        keys = F.when(F.col("n") <= int(1 / least) / least, F.concat(pairs, single)).otherwise(pairs)
+    return ordered.select(key, "n", F.explode(keys).alias("e")).select(key, "n", "e.*")
 
 
 def similar(left: DataFrame, right: DataFrame, lkey: str, rkey: str, least: float, share: int) -> DataFrame:
     """The prefix-filter join: pairs of keys with their exact Jaccard similarity. Both sides: key and array `members`.
 
-    Two sets of Jaccard similarity `least` share at least `least` x n members of either; if the smaller set has at least
-    `share` such members, they share that many within prefixes so much longer. Smaller sets need one shared member.
+    `share` 1 joins on single members of the prefixes, 2 on pairs of members.
     """
     rarity = left.select(F.explode("members").alias("member")).unionByName(right.select(F.explode("members").alias("member"))).groupBy("member").agg(F.count("*").alias("rarity"))
-    a = _prefixes(left, lkey, rarity, least, share).withColumnsRenamed({"n": "na", "position": "pa"})
-    b = _prefixes(right, rkey, rarity, least, share).withColumnsRenamed({"n": "nb", "position": "pb"})
-    spark = left.sparkSession
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    a, b = a.repartition(tasks, "member"), b.repartition(tasks, "member")  # few bytes go in, many pairs come out: not to be coalesced by size
+    a = _keys(left, lkey, rarity, least, share).withColumnsRenamed({"n": "na", "position": "pa"})
+    b = _keys(right, rkey, rarity, least, share).withColumnsRenamed({"n": "nb", "position": "pb"})
     long_enough = (F.col("nb") >= F.col("na") * least) & (F.col("na") >= F.col("nb") * least)
     # shared so far at most min(pa, pb), and what follows on either side
     reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     near = reach >= (F.col("na") + F.col("nb")) * (least / (1 + least))
-    pairs = a.join(b, "member").where(long_enough & near).select(lkey, rkey, "na", "nb")
-    if share > 1:
-        enough = F.least(F.lit(share), F.ceil(F.greatest("na", "nb") * least))
-        pairs = pairs.groupBy(lkey, rkey, "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough)
-    pairs = pairs.select(lkey, rkey).distinct() if share == 1 else pairs.select(lkey, rkey)
+    pairs = a.join(b, "k").where(long_enough & near).select(lkey, rkey).distinct()
     full = pairs.join(left.select(lkey, F.col("members").alias("__a")), lkey).join(right.select(rkey, F.col("members").alias("__b")), rkey)
     shared = F.size(F.array_intersect("__a", "__b"))
     jaccard = shared / (F.size("__a") + F.size("__b") - shared)
@@ -162,12 +178,15 @@ def similar(left: DataFrame, right: DataFrame, lkey: str, rkey: str, least: floa
 
 
 def correct_words(typed: DataFrame, listed: DataFrame) -> DataFrame:
-    """(word, right): typed words that aren't in the list with the listed word they come nearest to."""
-    unknown = typed.join(listed, typed["word"] == listed["listed"], "left_anti").where(F.col("word").rlike(r"^[a-z]{4,}$"))
+    """(word, right): typed words that aren't in the list with the listed word they come nearest to.
+
+    Words of fewer than four letters allow no slip and are left as they are.
+    """
+    unknown = typed.join(listed, typed["word"] == listed["listed"], "left_anti").where(F.length("word") >= 4)
     left = cut(unknown.withColumn("members", members_udf("word")))
-    right = cut(listed.where(F.col("listed").rlike(r"^[a-z]{4,}$") & ~F.col("exact")).select("listed").withColumn("members", members_udf("listed")))
-    pairs = similar(left, right, "word", "listed", WORDS_ALIKE, WORDS_SHARE).withColumn("d", edits_udf.asNondeterministic()("word", "listed")).where("d < 0")  # not before the verification
-    ranked = pairs.join(listed.select("listed", "df"), "listed")
+    right = cut(listed.where((F.length("listed") >= 4) & ~F.col("exact")).select("listed", "df").withColumn("members", members_udf("listed")))
+    pairs = similar(left, right, "word", "listed", WORDS_ALIKE, WORDS_SHARE).withColumn("d", slips_udf.asNondeterministic()("word", "listed")).where("d is not null")  # not before the verification
+    ranked = pairs.join(right.select("listed", "df"), "listed")
     return ranked.groupBy("word").agg(F.min_by("listed", F.struct("d", -F.col("df"), -F.col("jaccard"), "listed")).alias("right"))
 
 
