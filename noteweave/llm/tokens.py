@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -128,19 +129,26 @@ class Encoder:
         return [[known[w] for w in ws] for ws in split]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(data) -> Encoder:
-    if id(data) not in _ENCODERS:
+def _encoder(data: tuple[str, np.ndarray, np.ndarray]) -> Encoder:
+    """This worker's encoder of a vocabulary, known by its content."""
+    key, byte_ids, merges = data
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[id(data)] = Encoder(*data)
-    return _ENCODERS[id(data)]
+        _ENCODERS[key] = Encoder(byte_ids, merges)
+    return _ENCODERS[key]
+
+
+def _send(spark: SparkSession, name: str, folder: str | None):
+    byte_ids, merges = vocabulary(name, folder)
+    return spark.sparkContext.broadcast((xxhash.xxh3_128_hexdigest(byte_ids.tobytes() + merges.tobytes()), byte_ids, merges))
 
 
 def encode(spark: SparkSession, text: Column, name: str = "byte_bpe_50k", folder: str | None = None) -> Column:
     """The ids of `text` as an array of int, empty for null and empty texts."""
-    sent = spark.sparkContext.broadcast(vocabulary(name, folder))
+    sent = _send(spark, name, folder)
 
     @pandas_udf(ArrayType(IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -153,7 +161,7 @@ def encode(spark: SparkSession, text: Column, name: str = "byte_bpe_50k", folder
 
 def count_tokens(spark: SparkSession, text: Column, name: str = "byte_bpe_50k", folder: str | None = None) -> Column:
     """How many tokens `text` has; 0 for null and empty texts."""
-    sent = spark.sparkContext.broadcast(vocabulary(name, folder))
+    sent = _send(spark, name, folder)
 
     @pandas_udf(IntegerType())
     def n(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
