@@ -2,13 +2,17 @@
 
 The units of a text are its words (runs of letters and of anything beyond ASCII) and its runs beyond ASCII. Of every
 distinct clean unit the garbled forms under all encoding chains are generated; the units of the documents are joined
-with this table by hash, and those that match are replaced by the verified original. Spaceless scripts join sentences
-into ever new units, so the table also holds single letters: a unit that is wholly a row of garbled letters under one
-chain is garbled too. What can't be restored (replacement characters, stray control characters) is reported as such.
+with this table by hash, and those that match are replaced by the verified original. The table decides wherever it
+reaches. Beyond its reach are units whose original stands nowhere clean (spaceless scripts join sentences into ever new
+units): these are taken letter by letter, if they are wholly a row of garbled letters of the corpus under one chain. What
+can't be restored (replacement characters, stray control characters) is reported as such. `routes` counts each way.
 
-Scale: everything before the last step works on distinct units; the table meets the documents' units in a shuffle join,
-which adaptive execution may broadcast or split by size. Only the set of clean letters (bounded by Unicode) reaches the
-driver. ASCII texts are dismissed in the JVM.
+A match is evidence by itself if its unit is no likely word (`sure`); others count where a text holds `SEVERAL` of them
+under one chain.
+
+Scale: texts are read once, into their tokens beyond ASCII, cut from their lineage; everything else works on distinct
+tokens and units, and the garbled ones meet the documents' tokens in a shuffle join, which adaptive execution may
+broadcast or split by size. Only the set of clean letters (bounded by Unicode) reaches the driver.
 
 Cases: null, empty and ASCII texts are clean; a soft sign of hyphenation at a line end ('¬') is clean; rows that stand
 twice are both found; a text of any length is read whole; an empty table gives an empty result.
@@ -20,12 +24,13 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
+from noteweave.session import cut
+
 #: Encodings a UTF-8 text may have been read as.
 WRONG = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp1253", "cp1254", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "cp874", "cp1256"]
 #: Encodings a text may have been written in before it was read as Windows or ISO Latin.
@@ -42,14 +47,21 @@ CHAINS: list[tuple[tuple[str, str], ...]] = [
     (("cp1252", "lossy"),),
     (("cp1251", "lossy"),),
 ]
-#: Letters count as clean from so many units on; a longer row of garbled letters is sure.
-LEAST_UNITS, SURE = 2, 2
-
-UNIT = r"(?<![A-Za-z\x{80}-\x{10FFFF}])[A-Za-z]*+[\x{80}-\x{10FFFF}][A-Za-z\x{80}-\x{10FFFF}]*+"
-RUN = r"[\x{80}-\x{10FFFF}]++"
+#: Letters in a row of a two-byte encoding that are sure; unsure matches of one chain, and their least length, that make a
+#: text a case.
+SURE, SEVERAL, TELLING = 2, 3, 4
+
+_HIGH = r"\x{80}-\x{10FFFF}"
+#: A token with a character beyond ASCII, and the blanks after it.
+TOKEN = rf"((?<![^\x{{00}}-\x{{20}}])[\x{{21}}-\x{{7F}}]*+[{_HIGH}][^\x{{00}}-\x{{20}}]*+[ \t\r]*+\n?)"
+UNIT = rf"(?<![A-Za-z{_HIGH}])[A-Za-z]*+[{_HIGH}][A-Za-z{_HIGH}]*+"
+RUN = rf"[{_HIGH}]++"
 #: Units of legacy two-byte encodings also hold ASCII bytes: whole tokens with a letter that such bytes are often read as.
-_MARKS = r"\x{80}-\x{9F}\x{152}\x{160}\x{192}\x{201A}-\x{2039}"
-TOKEN = rf"(?<![^\x{{00}}-\x{{20}}])[^\x{{00}}-\x{{20}}{_MARKS}]*+[{_MARKS}][^\x{{00}}-\x{{20}}]*+"
+_MARKS = r"[\x{80}-\x{9F}\x{152}\x{160}\x{192}\x{201A}-\x{2039}]"
+_PY_HIGH = "\x80-\U0010ffff"
+_PY_UNIT = re.compile(f"(?<![A-Za-z{_PY_HIGH}])[A-Za-z]*[{_PY_HIGH}][A-Za-z{_PY_HIGH}]*")
+_PY_RUN = re.compile(f"[{_PY_HIGH}]+")
+_PY_TOKEN = re.compile(f"[\x21-\x7f]*[{_PY_HIGH}][^\x00-\x20]*")
 
 _READ: dict[str, list[str]] = {}
 _BYTE: dict[str, dict[str, int]] = {}
@@ -167,6 +179,18 @@ def sure(unit: str, original: str) -> bool:
     return len(b) >= 3 and len(unit) >= 5
 
 
+def likely(unit: str) -> bool:
+    """Whether a unit may be a word as it stands: letters of one script in usual case, Latin ones mostly without marks."""
+    letters = [c for c in unit if c.isalpha()]
+    if not letters or not _plain(unit) or len(letters) + sum(unicodedata.combining(c) > 0 for c in unit) < len(unit):
+        return False
+    scripts = {unicodedata.name(c, "?").split(" ")[0] for c in letters}
+    if len(scripts) > 1:
+        return scripts <= {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA"}
+    usual = unit.islower() or unit.isupper() or unit[1:].islower() or not any(c.isupper() or c.islower() for c in unit)
+    return usual and ("LATIN" not in scripts or 2 * len(_beyond(unit)) <= len(letters))
+
+
 _FORMS = ArrayType(StructType().add("form", StringType()).add("chain", IntegerType()))
 
 
@@ -197,10 +221,10 @@ def _letter_udf(letters: frozenset, two_bytes: bool):
     return parse
 
 
-def _units(text: Column) -> Column:
-    """Words and runs beyond ASCII, each once; the sign of hyphenation at a line end is no part of them."""
-    t = F.regexp_replace(text, r"(?m)\x{AC}[ \t\r]*$", "-")
-    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(f"({UNIT})"), F.lit(1)), F.regexp_extract_all(t, F.lit(f"({RUN})"), F.lit(1))))
+@pandas_udf(BooleanType())
+def _turned(units: pd.Series, originals: pd.Series) -> pd.Series:
+    """Whether the original is the likely one of the two; by frequency alone, a form that stands as often would be kept."""
+    return pd.Series([likely(o) and not likely(u) for u, o in zip(units, originals, strict=True)])
 
 
 @pandas_udf(BooleanType())
@@ -208,62 +232,84 @@ def _sure(units: pd.Series, originals: pd.Series) -> pd.Series:
     return pd.Series([sure(u, o) for u, o in zip(units, originals, strict=True)])
 
 
-def document_units(docs: DataFrame) -> DataFrame:
-    """(id, unit, token): the distinct units of each text; token marks whole tokens that may be of two-byte encodings."""
-    some = docs.where(F.col("text").rlike(r"[\x{80}-\x{10FFFF}]"))
-    marked = F.transform(_units(F.col("text")), lambda u: F.struct(u.alias("unit"), F.lit(False).alias("token")))
-    whole = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), F.lit(1))), lambda u: F.struct(u.alias("unit"), F.lit(True).alias("token")))
-    return some.select("id", F.explode(F.concat(marked, whole)).alias("u")).select("id", "u.*")
+def document_tokens(docs: DataFrame) -> DataFrame:
+    """(id, token): the distinct tokens beyond ASCII of each text, with the blanks after them; cut from their lineage."""
+    some = docs.where(F.col("text").rlike(f"[{_HIGH}]"))
+    return cut(some.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)))).alias("token")))
+
+
+def token_units(tokens: DataFrame) -> DataFrame:
+    """(token, n, unit, whole): the units of each distinct token (n texts hold it); whole marks tokens that may be of two-byte encodings.
+
+    The sign of hyphenation at a line end is no part of a unit.
+    """
+    each = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    t = F.regexp_replace("token", r"\x{AC}[ \t\r]*\n?$", "-")
+    bare = F.regexp_replace("token", r"[ \t\r\n]+$", "")
+    inside = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(f"({UNIT})"), F.lit(1)), F.regexp_extract_all(t, F.lit(f"({RUN})"), F.lit(1))))
+    units = F.transform(inside, lambda u: F.struct(u.alias("unit"), F.lit(False).alias("whole")))
+    whole = F.when(bare.rlike(_MARKS), F.array(F.struct(bare.alias("unit"), F.lit(True).alias("whole")))).otherwise(F.array().cast("array<struct<unit:string,whole:boolean>>"))
+    return cut(each.select("token", "n", F.explode(F.concat(units, whole)).alias("u")).select("token", "n", "u.*"))
+
+
+#: Ways to an original, the first that applies.
+ROUTES = ["table", "letters", "lost"]
 
 
 def garbled_units(spark: SparkSession, units: DataFrame) -> DataFrame:
-    """The garbled ones among the distinct units: unit, token, original (null if lost), chain, sure."""
-    counts = units.groupBy("unit", "token").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    words = counts.where("not token").select("unit", "n")
+    """The garbled ones among the units: unit, whole, original (null if lost), chain, sure, route."""
+    counts = cut(units.groupBy("unit", "whole").agg(F.sum("n").alias("n")))
+    words = counts.where("not whole").select("unit", "n")
     clean = words.withColumn("clean", is_clean("unit")).where("clean").select("unit", "n")
-    chars = clean.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("c"), "n").where("c > '\x7f'").groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    letters = frozenset(r["c"] for r in chars.where(f"n >= {LEAST_UNITS}").select("c").collect())  # bounded by Unicode
+    letters = frozenset(r["c"] for r in clean.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("c")).where("c > '\x7f'").distinct().collect())  # bounded by Unicode
     made = clean.withColumn("f", F.explode(forms("unit"))).select(F.col("f.form").alias("unit"), F.col("unit").alias("original"), "f.chain", F.col("n").alias("n_original"))
-    matched = words.join(made, "unit").where("n_original > n").groupBy("unit").agg(F.max_by(F.struct("original", "chain"), F.struct("n_original", F.col("original"))).alias("m"))
-    matched = matched.select("unit", "m.*").withColumn("sure", _sure("unit", "original"))
-    by_letter = words.withColumn("m", _letter_udf(letters, False)("unit")).where("m.original is not null").select("unit", "m.*", F.lit(True).alias("sure"))
-    lost = words.where(F.col("unit").rlike(r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]")).select("unit", F.lit(None).cast("string").alias("original"), F.lit(-1).alias("chain"), F.lit(True).alias("sure"))
-    best = matched.withColumn("rank", F.lit(1)).unionByName(by_letter.withColumn("rank", F.lit(0))).unionByName(lost.withColumn("rank", F.lit(2)))
-    best = best.groupBy("unit").agg(F.min_by(F.struct("original", "chain"), F.struct("rank", "chain")).alias("b"), F.max("sure").alias("sure")).select("unit", F.lit(False).alias("token"), "b.*", "sure")
-    two = counts.where("token").withColumn("m", _letter_udf(letters, True)("unit")).where("m.original is not null").select("unit", "token", "m.*", F.lit(True).alias("sure"))
-    return best.unionByName(two)
+    met = words.join(made, "unit").withColumn("turned", _turned("unit", "original")).where("turned or n_original > n").withColumn("sure", _sure("unit", "original"))
+    matched = met.groupBy("unit").agg(F.max_by(F.struct("original", "chain", "sure"), F.struct("sure", "n_original", "original")).alias("m")).select("unit", "m.*")
+    rest = words.join(matched.where("sure").select("unit"), "unit", "left_anti")
+    by_letter = rest.withColumn("m", _letter_udf(letters, False)("unit")).where("m.original is not null").select("unit", "m.*", F.lit(True).alias("sure"))
+    lost = rest.where(F.col("unit").rlike(r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]")).select("unit", F.lit(None).cast("string").alias("original"), F.lit(-1).alias("chain"), F.lit(True).alias("sure"))
+    ways = [x.withColumn("rank", F.lit(k)) for k, x in enumerate((matched, by_letter, lost))]
+    best = ways[0].unionByName(ways[1]).unionByName(ways[2])
+    best = best.groupBy("unit").agg(F.min_by(F.struct("original", "chain", "rank"), F.struct(~F.col("sure"), "rank", "chain")).alias("b"), F.max("sure").alias("sure")).select("unit", F.lit(False).alias("whole"), "b.*", "sure")
+    two = counts.where("whole").withColumn("m", _letter_udf(letters, True)("unit")).where("m.original is not null").select("unit", "whole", "m.*", F.lit(1).alias("rank"), F.lit(True).alias("sure"))
+    names = F.array(*map(F.lit, ROUTES))
+    return cut(best.unionByName(two).withColumn("route", F.get(names, F.col("rank"))).drop("rank"))
 
 
 def garbled_in(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(id, unit, token, original, chain, sure) of every text that holds at least one sure garbled unit."""
-    units = document_units(docs)
-    hits = units.join(garbled_units(spark, units), ["unit", "token"])
-    sure_ids = hits.where("sure").groupBy("id").agg(F.collect_set("chain").alias("chains"))
-    return hits.join(sure_ids, "id").where("sure or array_contains(chains, chain)").drop("chains")
+    """(id, unit, whole, original, chain, sure, route) of every case: a sure garbled unit, or several of one chain."""
+    tokens = document_tokens(docs)
+    units = token_units(tokens)
+    garbled = garbled_units(spark, units)
+    hits = tokens.join(units.drop("n").join(garbled, ["unit", "whole"]), "token").drop("token").distinct()
+    per_chain = hits.groupBy("id", "chain").agg(F.max("sure").alias("sure"), F.count_if(F.length("unit") >= TELLING).alias("k")).where(f"sure or k >= {SEVERAL}")
+    chains = per_chain.groupBy("id").agg(F.collect_set("chain").alias("chains"))
+    return hits.join(chains, "id").where("sure or array_contains(chains, chain)").drop("chains")
 
 
 def found(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    units = document_units(docs)
-    return units.join(garbled_units(spark, units).where("sure"), ["unit", "token"]).select("id").distinct()
+    return garbled_in(spark, docs).select("id").distinct()
+
+
+def routes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(route, n_units, n_texts): how many distinct units came by each way, and in how many texts it was used."""
+    return garbled_in(spark, docs).groupBy("route").agg(F.countDistinct("unit").alias("n_units"), F.countDistinct("id").alias("n_texts"))
 
 
 def _replace(text: str, pairs: list) -> str:
-    table = {p["unit"]: p["original"] for p in pairs if p["original"] is not None}
-    if not table:
-        return text
-    tokens = sorted((p["unit"] for p in pairs if p["token"] and p["original"] is not None), key=len, reverse=True)
-    for t in tokens:
-        text = text.replace(t, table[t])
-    rest = sorted((u for u in table if u not in set(tokens)), key=len, reverse=True)
-    if rest:
-        text = re.sub("|".join(map(re.escape, rest)), lambda m: table[m[0]], text)
-    return text
+    """Each garbled unit by its original, where it stands as a unit: whole tokens, then words, then runs."""
+    whole = {p["unit"]: p["original"] for p in pairs if p["whole"] and p["original"] is not None}
+    table = {p["unit"]: p["original"] for p in pairs if not p["whole"] and p["original"] is not None}
+    run = lambda m: table.get(m[0], m[0])
+    unit = lambda m: table[m[0]] if m[0] in table else _PY_RUN.sub(run, m[0])
+    token = lambda m: whole[m[0]] if m[0] in whole else _PY_UNIT.sub(unit, m[0])
+    return _PY_TOKEN.sub(token, text)
 
 
 def restored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Affected texts: id, n_units, n_lost and the text with its original letters where they can be recovered."""
     hits = garbled_in(spark, docs)
-    by_id = hits.groupBy("id").agg(F.collect_list(F.struct("unit", "token", "original")).alias("pairs"), F.count("*").alias("n_units"), F.count_if(F.col("original").isNull()).alias("n_lost"))
+    by_id = hits.groupBy("id").agg(F.collect_list(F.struct("unit", "whole", "original")).alias("pairs"), F.count("*").alias("n_units"), F.count_if(F.col("original").isNull()).alias("n_lost"))
 
     @pandas_udf(StringType())
     def put_back(texts: pd.Series, pairs: pd.Series) -> pd.Series:

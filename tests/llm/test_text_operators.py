@@ -31,6 +31,24 @@ def test_encoding(spark):
     assert encoding.found(spark, df.limit(0)).count() == 0
 
 
+def test_garbled_as_often_as_clean(spark):
+    """A site that always garbles: the form stands as often as its original, or more often."""
+    rows = [(i, CLEAN[1]) for i in range(3)] + [(10 + i, encoding.garble(CLEAN[1], (("utf-8", "cp1252"),))) for i in range(6)] + [(30 + i, "Größe") for i in range(2)]
+    rows += [(50 + i, encoding.garble("Größe naïve Рекомендовано", (("utf-8", "mac_roman"),))) for i in range(4)]
+    df = spark.createDataFrame(rows + [(99, "Рекомендовано naïve")], "id long, text string")
+    back = {r["id"]: r["text"] for r in encoding.restored(spark, df).collect()}
+    assert back == {10 + i: CLEAN[1] for i in range(6)} | {50 + i: "Größe naïve Рекомендовано" for i in range(4)}
+    by = {r["route"]: r["n_texts"] for r in encoding.routes(spark, df).collect()}
+    assert by.get("table", 0) == 10
+
+
+def test_restored_at_boundaries_only(spark):
+    pairs = [{"unit": "Ã¼", "original": "ü", "whole": False}, {"unit": "fÃ¼r", "original": "für", "whole": False}]
+    assert encoding._replace("fÃ¼r Ã¼ xfÃ¼r fÃ¼rs", pairs) == "für ü xfür fürs"
+    pairs = [{"unit": "Ãa", "original": "ß", "whole": False}]
+    assert encoding._replace("Ãab Ãa xÃa", pairs) == "Ãab ß xÃa"
+
+
 # ---- terms
 
 
