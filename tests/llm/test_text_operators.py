@@ -259,19 +259,65 @@ def test_units(spark):
 def test_posteriors_against_brute_force():
     import itertools
 
-    m = sentences.Model()
-    odds = {("a", "x"): 0.7, ("b", "y"): 3.0, ("c", "z"): 1.2}
-    m.odds = lambda p, q: odds[p, q]
-    cands = [(0, 1, "a", "x", 1), (2, 3, "b", "y", 2), (4, 5, "c", "z", 1)]
+    m, odds, words = sentences.Model(), [0.7, 3.0, 1.2], [1, 2, 1]
     total, yes = 0.0, [0.0] * 3
     for path in itertools.product((0, 1), repeat=3):
         w, since = 1.0, 0
-        for e, c in zip(path, cands, strict=True):
-            since = min(since + c[4], sentences.STATES)
+        for e, o, k in zip(path, odds, words, strict=True):
+            since = min(since + k, sentences.STATES)
             if e:
-                w *= odds[c[2], c[3]] * m.length[since - 1]
+                w *= o * m.length[since - 1]
                 since = 0
         total += w
         for k, e in enumerate(path):
             yes[k] += w * e
-    assert m.posteriors(cands) == pytest.approx([y / total for y in yes])
+    assert m.posteriors(odds, words) == pytest.approx([y / total for y in yes])
+
+
+def test_long_quotation_is_one():
+    """Quotes are atomic however long, and an opening mark that never closes hides nothing."""
+    for n in (5, 60, 2000):
+        text = "He said “" + "The wound is dry. " * n + "Go.” Then he left."
+        cands, end = sentences.candidates(text, 0, len(text))
+        assert [text[:c[0]][-4:] for c in cands] == ["Go.”"] and end == "left."
+    text = "He said “stop. It is dry. Then “Go on. Now.” came. End."
+    assert len(sentences.candidates(text, 0, len(text))[0]) == 4
+    text = 'She said "It is dry. It is." and left. "Why? Well." Done.'
+    assert [text[: c[0]].split()[-1] for c in sentences.candidates(text, 0, len(text))[0]] == ['is."', "left.", 'Well."']
+
+
+def test_gaps_go_through_the_model():
+    text = "ผู้ป่วยมีไข้ สูงมาก และไอ (ไม่ มี) MRI ปกติ"
+    m = sentences.Model()
+    assert [text[a:b] for a, b in sentences.divide(text, m)] == ["ผู้ป่วยมีไข้", "สูงมาก", "และไอ (ไม่ มี) MRI ปกติ"]
+    m.gap = 0.05
+    assert sentences.divide(text, m) == [(0, len(text))]
+
+
+def test_fixed_slots_at_a_larger_corpus(spark, sf, monkeypatch):
+    """Thirty times fewer slots, as if the corpus had so many more n-grams: nearly the same units."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    much = set(map(tuple, sentences.units(spark, docs).collect()))
+    monkeypatch.setattr(sentences, "BUCKETS", 1 << 13)
+    few = {tuple(r) for r in _units_with(spark, docs, 1 << 13)}
+    assert len(much & few) >= 0.98 * max(len(much), len(few))
+
+
+def _units_with(spark, docs, buckets):
+    """Units by a model of so many slots, all in this process (workers would not see the patched number)."""
+    import pandas as pd
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("text is not null").collect()]
+    apart, widths = sentences.taken_apart(spark, docs)
+    m = sentences.Model()
+    m.widths = widths
+    cells = []
+    for r in apart.collect():
+        cells += [(kb, sb, ka, sa) for kb, sb, ka, sa in zip(r["kb"], r["sb"], r["ka"], r["sa"], strict=True)]
+        for t in r["tail"]:
+            cells += [(t["kb"], t["sb"], None, None), (None, None, t["ka"], t["sa"])]
+    pairs = pd.DataFrame(cells, columns=["kb", "sb", "ka", "sa"], dtype="Int64").groupby(["kb", "sb", "ka", "sa"], dropna=False).size().reset_index(name="n")
+    for k in range(sentences.ROUNDS + 1):
+        got = sentences.expected(pairs, m if k else None)
+        sentences._fill(m, got.groupby(["kind", "shape", "key"], as_index=False)["value"].sum())
+    return [(d, a, b) for d, t in rows for a, b in sentences.divide(t, m)]
