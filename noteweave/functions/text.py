@@ -34,7 +34,7 @@ def format_code(c: Column) -> Column:
     t = trim(c)
     clean = unformat_code(t)
     dotted = F.when((F.length(clean) > 3) & clean.rlike("^[A-Z][0-9]"), F.concat(clean.substr(1, 3), F.lit("."), clean.substr(F.lit(4), F.length(clean)))).otherwise(clean)
-    return F.when(t == "", "").when(t.rlike(r"^\d+$"), t).when(t.rlike(r"^\d{4}[A-Za-z]$"), F.upper(t)).when(t.contains("."), F.upper(t)).otherwise(dotted)
+    return F.when(t == "", "").when(t.rlike(r"^\d+$"), t).when(t.rlike(r"^\d{4}[A-Za-z]$") | t.rlike(r"(?i)^M[89]\d{3}[./]\d$"), F.upper(t)).when(t.contains("."), F.upper(t)).otherwise(dotted)
 
 
 def valid_code(c: Column) -> Column:
@@ -79,7 +79,7 @@ def clinical_tokens(c: Column) -> Column:
 
 def related_tokens(ts: Column) -> Column:
     """Tokens with their related words and singulars, each once, in order."""
-    m = literal_map(V.RELATED)
+    m = literal_map(V.RELATED_WORDS)
     singular = lambda t: F.when(t.endswith("s") & ~t.endswith("ss") & (F.length(t) > 4), F.array(t.substr(F.lit(1), F.length(t) - 1))).otherwise(F.array().cast("array<string>"))
     more = F.flatten(F.transform(ts, lambda t: F.concat(F.coalesce(F.try_element_at(m, t), F.array().cast("array<string>")), singular(t))))
     return F.array_distinct(F.concat(ts, more))

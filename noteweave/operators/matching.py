@@ -13,7 +13,10 @@ from noteweave.functions import text as T
 from noteweave.functions import values as V
 
 #: Qualifiers that are no part of a concept's core, and details that an unspecified entry lacks.
-PERIPHERAL = ["acute", "chronic", "left", "right", "bilateral", "unspecified", "other", "with", "without", "type", "due", "following", "subacute", "recurrent"]
+PERIPHERAL = [
+    "mild", "moderate", "severe", "routine", "unspecified", "uncontrolled", "controlled", "status", "post", "s/p", "primary", "secondary", "admitted", "discharge", "history",
+    "compensated", "decompensated", "recurrent", "underlying", "known", "case", "of", "with", "without", "and", "or", "in", "for", "to", "from", "due",
+]
 DETAILS = ["systolic", "diastolic", "anterior", "inferior", "lateral", "retroperitoneal", "ureteric", "ureter", "antral"]
 
 

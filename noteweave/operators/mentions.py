@@ -1,4 +1,4 @@
-"""Mentions of catalogue entries in notes, line by line, with polarity and section.
+"""Mentions of catalogue entries in notes, clause by clause, with polarity and section.
 
 Each description is looked up by its rarest word only; the whole description is then verified at word boundaries. So the
 lines meet the catalogue in one hash join on a word, and a word that is common in lines but in no description's rarest place
@@ -18,7 +18,7 @@ from noteweave.operators import notes
 
 
 def _words(c: str):
-    return T.tokens(F.lower(c), "[a-z0-9]+")
+    return T.tokens(F.lower(c), r"[\p{L}\p{N}]+")
 
 
 def rare_words(entries: DataFrame) -> DataFrame:
@@ -30,17 +30,29 @@ def rare_words(entries: DataFrame) -> DataFrame:
     return each.join(df, "word").groupBy("phrase", "code").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
 
 
+#: Where a clause ends.
+CLAUSE = r"[.!?]+\s+|;\s*|,?\s+but\s+|,?\s+although\s+"
+
+
+def clauses(lines: DataFrame) -> DataFrame:
+    """The lines with `clause_no` and `clause`: parts of a line whose cues don't reach the next."""
+    return lines.select("*", F.posexplode(F.split("line", CLAUSE)).alias("clause_no", "clause"))
+
+
 def extract(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id, line_no, start_char, code, phrase, polarity) of every description named in a line."""
+    """(id, line_no, start_char, section, clause_no, code, phrase, polarity) of every description named in a clause, with the
+    polarity of that clause; the question mark at its end counts."""
     rare = rare_words(entries)
-    lines = notes.lines_of(docs).select("id", "line_no", "start_char", "line", F.concat(F.lit(" "), F.array_join(_words("line"), " "), F.lit(" ")).alias("plain"))
-    each = lines.select("*", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word"))
+    parts = clauses(notes.lines_of(docs)).select("id", "line_no", "start_char", "section", "clause_no", "clause", F.concat(F.lit(" "), F.array_join(_words("clause"), " "), F.lit(" ")).alias("plain"))
+    each = parts.select("*", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word"))
     hit = each.join(rare, "word").where(F.contains("plain", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    return hit.select("id", "line_no", "start_char", "code", "phrase", T.polarity(F.col("line")).alias("polarity"))
+    return hit.select("id", "line_no", "start_char", "section", "clause_no", "code", "phrase", T.polarity(F.col("clause")).alias("polarity"))
 
 
 def longest(mentions: DataFrame) -> DataFrame:
-    """Mentions of a line without those that are the beginning of a longer one there (next phrase in order, by window)."""
-    w = Window.partitionBy("id", "line_no").orderBy("phrase")
-    after = F.lead("phrase").over(w)
-    return mentions.withColumn("__next", after).where(F.coalesce(~F.col("__next").startswith(F.concat("phrase", F.lit(" "))), F.lit(True))).drop("__next")
+    """Mentions of a clause without those whose words stand inside a longer one there (by window over the clause: few rows)."""
+    w = Window.partitionBy("id", "line_no", "clause_no")
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    others = mentions.withColumn("__all", F.collect_set("phrase").over(w))
+    inside = F.exists("__all", lambda p: (p != F.col("phrase")) & F.contains(spaced(p), spaced(F.col("phrase"))))
+    return others.where(~inside).drop("__all")

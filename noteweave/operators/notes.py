@@ -6,36 +6,72 @@ null position; mentions without a confidence score as 0; empty tables give empty
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from noteweave.functions import text as T
 from noteweave.functions import values as V
 
 
-def section_of(line: Column) -> Column:
-    """The section that a line opens: the line is one of its headings, with or without a colon."""
-    head = F.regexp_replace(F.trim(F.regexp_replace(line, r"[\r\t]", " ")), r" *:$", "")
-    m = T.literal_map({h: name for name, heads in V.SECTIONS.items() for h in heads})
-    return F.try_element_at(m, head)
+def section_regex(pattern: str) -> str:
+    """The pattern of a line that opens a section."""
+    return rf"(?i)^\s*{pattern}\s*(?::|--|$)"
+
+
+
+
+_LOCAL = {h: name for name, heads in V.LOCAL_HEADINGS.items() for h in heads}
+_HEADING = [(name, re.compile(section_regex(pattern))) for name, pattern in V.SECTION_PATTERNS]
+_ANY_HEADING = re.compile("|".join(f"(?:{section_regex(p).replace('(?i)', '')})" for _, p in V.SECTION_PATTERNS), re.I)
+
+
+def section_of(line: str) -> str | None:
+    """The section that a line opens: a heading with a colon, dashes or nothing after it; dates are no headings."""
+    s = line.replace("\r", " ").replace("\t", " ")
+    bare = re.sub(r" *:$", "", s.strip(" "))
+    if bare in _LOCAL:
+        return _LOCAL[bare]
+    if not _ANY_HEADING.match(s) or re.match(r"(?i)\s*date of", s):
+        return None
+    return next(name for name, pattern in _HEADING if pattern.match(s))
+
+
+_LINES = ArrayType(StructType().add("line_no", IntegerType()).add("start_char", LongType()).add("line", StringType()).add("opens", StringType()).add("section", StringType()))
+
+
+@pandas_udf(_LINES)
+def _taken_apart(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        rows, at, section = [], 0, "GENERAL"
+        for k, line in enumerate(t.split("\n")):
+            opens = section_of(line)
+            section = opens or section
+            rows.append((k, at, line, opens, section))
+            at += len(line) + 1
+        out.append(rows)
+    return pd.Series(out)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, line_no, start_char, line) of each text; the start counts characters from 0."""
-    parts = docs.where("text is not null").select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return parts.withColumn("start_char", F.coalesce(before, F.lit(0)))
+    """(id, line_no, start_char, line, opens, section) of each text, without any shuffle: offsets (from 0) and sections are
+    found within the row."""
+    return docs.where("text is not null").select("id", F.explode(_taken_apart("text")).alias("l")).select("id", "l.*")
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """(id, section_no, section, start_char, end_char): from each heading to the next, without a self join."""
-    ls = lines_of(docs).withColumn("opens", section_of(F.col("line")))
-    size = docs.where("text is not null").select("id", F.length("text").alias("size"))
-    heads = ls.where(F.col("opens").isNotNull()).select("id", "start_char", F.col("opens").alias("section"))
-    start = ls.where((F.col("line_no") == 0) & F.col("opens").isNull()).select("id", F.lit(0).cast("bigint").alias("start_char"), F.lit("GENERAL").alias("section"))
-    w = Window.partitionBy("id").orderBy("start_char")
-    cut = heads.unionByName(start).join(size, "id").withColumn("end_char", F.coalesce(F.lead("start_char").over(w), F.col("size"))).withColumn("section_no", F.row_number().over(w))
-    return cut.select("id", "section_no", "section", "start_char", "end_char")
+    """(id, section_no, section, start_char, end_char): from each heading to the next, within the row."""
+    ls = docs.where("text is not null").select("id", F.length("text").cast("bigint").alias("size"), _taken_apart("text").alias("ls"))
+    heads = F.filter("ls", lambda x: x["opens"].isNotNull() | (x["line_no"] == 0))
+    cut = ls.select("id", "size", F.transform(heads, lambda x: F.struct(x["section"].alias("section"), x["start_char"].alias("start_char"))).alias("hs"))
+    end = lambda i: F.coalesce(F.get("hs", i + 1)["start_char"], F.col("size"))
+    spans = F.transform("hs", lambda h, i: F.struct((i + 1).alias("section_no"), h["section"].alias("section"), h["start_char"].alias("start_char"), end(i).alias("end_char")))
+    return cut.select("id", F.explode(spans).alias("s")).select("id", "s.*")
 
 
 def section_at(points: DataFrame, secs: DataFrame) -> DataFrame:
@@ -98,7 +134,8 @@ def merge_quotes(snippets: DataFrame) -> DataFrame:
 
 def locate_quotes(snippets: DataFrame, docs: DataFrame) -> DataFrame:
     """(snippet_id, found_at, agrees): where a quote stands in its document and whether the given span says the same."""
-    one = docs.where("text is not null").groupBy("document_id").agg(F.min_by("text", "id").alias("text"))
+    first = docs.where("text is not null and document_id is not null").groupBy("document_id").agg(F.min("id").alias("id"))  # ids only are shuffled
+    one = docs.where("text is not null").select("id", "text").join(first, "id")
     s = snippets.where("trim(quote) <> ''").groupBy("snippet_id").agg(F.max_by(F.struct("document_id", F.trim("quote").alias("quote"), "start_char"), F.struct("received_at", "quote")).alias("s")).select("snippet_id", "s.*")
     at = T.verbatim_start(F.col("text"), F.col("quote"))
     return s.join(one, "document_id").select("snippet_id", at.alias("found_at"), F.coalesce(at == F.col("start_char"), F.lit(False)).alias("agrees"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from noteweave import pipeline
 from noteweave.functions import text as T
 from noteweave.functions import values as V
-from noteweave.operators import matching
+from noteweave.operators import extraction as E
+from noteweave.operators import matching, terms
 from noteweave.operators import mentions as X
 from noteweave.operators import notes as N
 from noteweave.plans.retrieval_queries import expand_sql, map_sql, q, tokens_sql
@@ -108,18 +109,25 @@ def pipeline_codes(spark, d):
 
 
 def mention_extract(spark, d):
-    return X.extract(_docs(spark, d), table(spark, d, "sample_hospital_icd")).select("id", "line_no", "code", "polarity")
+    return X.extract(_docs(spark, d), table(spark, d, "sample_hospital_icd")).select("id", "line_no", "code", "polarity").distinct()
+
+
+def mention_phases(spark, d):
+    """The diagnostic mentions of every note, folded by term."""
+    return E.mentions_of(_docs(spark, d))
+
+
+def mention_roles(spark, d):
+    return E.with_primary(E.mentions_of(_docs(spark, d))).groupBy("phase", "final_role").agg(F.count("*").alias("n"))
 
 
 def mention_sections(spark, d):
     """How often each section names an affirmed, negated or uncertain entry, by the longest phrases only."""
-    docs = _docs(spark, d)
-    m = X.longest(X.extract(docs, table(spark, d, "sample_hospital_icd"))).withColumn("key", F.xxhash64("id", "line_no", "phrase"))
-    at = N.section_at(m.select("key", "id", F.col("start_char").alias("at")), N.sections(docs))
-    return m.join(at, "key").groupBy("section", "polarity").agg(F.count("*").alias("n_mentions"))
+    m = X.longest(X.extract(_docs(spark, d), table(spark, d, "sample_hospital_icd")))
+    return m.groupBy("section", "polarity").agg(F.count("*").alias("n_mentions"))
 
 
-QUERIES = {f.__name__: f for f in (mention_extract, mention_sections, concept_match, pipeline_codes, text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, page_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
+QUERIES = {f.__name__: f for f in (mention_extract, mention_phases, mention_roles, mention_sections, concept_match, pipeline_codes, text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, page_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
 
 
 def cue_sql(c: str, cues: list[str]) -> str:
@@ -140,33 +148,73 @@ def score_sql() -> str:
 
 
 def sections_sql() -> str:
-    heads = map_sql({h: name for name, hs in V.SECTIONS.items() for h in hs})
-    head = r"regexp_replace(trim(regexp_replace(line, '[\r\t]', ' ', 'g')), ' *:$', '')"
+    local = map_sql({h: name for name, hs in V.LOCAL_HEADINGS.items() for h in hs})
+    plain = r"regexp_replace(line, '[\r\t]', ' ', 'g')"
+    head = f"regexp_replace(trim({plain}, ' '), ' *:$', '')"
+    cases = " ".join(f"WHEN regexp_matches({plain}, {q(N.section_regex(p))}) THEN {q(name)}" for name, p in V.SECTION_PATTERNS)
+    opens = f"CASE WHEN {local}[{head}] IS NOT NULL THEN {local}[{head}] WHEN regexp_matches({plain}, '(?i)^\\s*date of') THEN NULL {cases} END"
     return f"""
 p AS (SELECT id, length(text) AS size, string_split(text, chr(10)) AS ls FROM clinical_documents WHERE text IS NOT NULL),
 l0 AS (SELECT id, size, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM p),
-l AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char, {heads}[{head}] AS opens FROM l0),
-h AS (SELECT id, size, start_char, coalesce(opens, 'GENERAL') AS section FROM l WHERE opens IS NOT NULL OR line_no = 0),
-s AS (SELECT id, row_number() OVER w AS section_no, section, CAST(start_char AS BIGINT) AS start_char, CAST(coalesce(lead(start_char) OVER w, size) AS BIGINT) AS end_char FROM h WINDOW w AS (PARTITION BY id ORDER BY start_char))"""
+l1 AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, {opens} AS opens FROM l0),
+l AS (SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY id ORDER BY line_no), 'GENERAL') AS section FROM l1),
+h AS (SELECT id, size, start_char, section FROM l WHERE opens IS NOT NULL OR line_no = 0),
+s AS (SELECT id, CAST(row_number() OVER w AS INTEGER) AS section_no, section, start_char, CAST(coalesce(lead(start_char) OVER w, size) AS BIGINT) AS end_char FROM h WINDOW w AS (PARTITION BY id ORDER BY start_char))"""
+
+
+#: DuckDB's split drops nothing, as Spark's with a limit of -1.
+_CLAUSES = f"c0 AS (SELECT id, line_no, start_char, section, opens, string_split_regex(line, {q(X.CLAUSE)}) AS cs FROM l), c AS (SELECT id, line_no, start_char, section, opens, unnest(cs) AS clause, generate_subscripts(cs, 1) - 1 AS clause_no FROM c0)"
+
+
+def _polarity_sql(c: str) -> str:
+    return f"CASE WHEN {cue_sql(c, V.NEGATION)} THEN 'NEGATED' WHEN {cue_sql(c, V.UNCERTAINTY)} OR contains({c}, '?') THEN 'UNCERTAIN' ELSE 'AFFIRMED' END"
+
+
+def _kind_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {cue_sql(c, w)} THEN {q(k)}" for k, w in terms.KINDS.items()) + " ELSE 'OTHER' END"
+
+
+def phases_sql() -> str:
+    """The whole of the extraction in SQL: f holds one row per note and term."""
+    trim = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+    phase = "CASE " + " ".join(f"WHEN section IN ({', '.join(map(q, secs))}) THEN {k}" for k, (_, secs, *_r) in enumerate(E.PHASES) if secs) + f" ELSE {len(E.PHASES) - 1} END"
+    whole = r"regexp_replace(regexp_replace(clause, '^(?:[-*•]|\d+[.)])\s*', ''), '[.,;:?!]+$', '')"
+    pick = lambda i, f: "CASE phase_no " + " ".join(f"WHEN {k} THEN {f(x[i])}" for k, x in enumerate(E.PHASES)) + " END"
+    term = pick(2, lambda cues: f"nullif(regexp_extract(clause, {q(E.cue_regex(cues))}, 1), '')" if cues else whole)
+    rejected = " OR ".join(f"term IN ({', '.join(map(q, v))})" for v in terms.REJECTED.values())
+    return f"""{_CLAUSES},
+d AS (SELECT * REPLACE ({trim.format(c="clause")} AS clause), {phase} AS phase_no FROM c WHERE section NOT IN ({", ".join(map(q, E.SKIPPED))}) AND opens IS NULL),
+t AS (SELECT *, {trim.format(c=f"lower({term})")} AS term, {pick(0, q)} AS phase, {pick(3, q)} AS role0, {pick(4, str)} AS score0 FROM d WHERE clause <> ''),
+k AS (SELECT *, {_kind_sql("term")} AS kind, {_polarity_sql("clause")} AS polarity, {acuity_sql("clause")} AS acuity, phase = 'history' AND {cue_sql("clause", E.TREATED)} AS treated,
+  CASE WHEN {cue_sql("clause", ["bilateral", "both"])} THEN 'BILATERAL' WHEN {cue_sql("clause", ["right", "rt"])} THEN 'RIGHT' WHEN {cue_sql("clause", ["left", "lt"])} THEN 'LEFT' ELSE 'NONE' END AS side
+  FROM t WHERE term <> '' AND NOT ({rejected}) AND regexp_matches(term, '[a-z]{{3}}') AND NOT {cue_sql("term", V.NEGATION)}),
+r AS (SELECT *, CASE WHEN treated THEN 'SECONDARY' ELSE role0 END AS role, CASE WHEN polarity = 'NEGATED' THEN -50.0 ELSE
+  CASE WHEN treated THEN 3.0 WHEN phase = 'complaint' AND kind <> 'SYMPTOM' THEN 3.5 WHEN phase = 'investigation' AND contains(clause, '?') THEN -5.0 ELSE score0 END
+  + CASE WHEN phase IN ('course', 'procedure') AND acuity IN ('ACUTE', 'ACUTE_ON_CHRONIC') THEN 1.0 ELSE 0.0 END END AS score FROM k WHERE kind <> 'OTHER'),
+f AS (SELECT id, term, unnest(arg_min({{'phase': phase, 'section': section, 'polarity': polarity, 'acuity': acuity, 'side': side, 'role': role, 'score': CAST(score AS DOUBLE)}},
+  (CASE polarity WHEN 'AFFIRMED' THEN 0 WHEN 'UNCERTAIN' THEN 1 ELSE 2 END, -score, phase_no, line_no, clause_no))), count(*) AS n_mentions, count(DISTINCT phase) AS n_phases FROM r GROUP BY id, term)"""
 
 
 def sql() -> dict[str, str]:
     norm = f"translate(text, {q(T.PLAIN_FROM)}, {q(T.PLAIN_TO)})"
     for pat, rep in ((T.DROPPED, ""), (r"([a-zA-Z]{3,})-[ \t]*\n[ \t]*([a-zA-Z]{3,})", r"\1\2"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+$", "")):
         norm = f"regexp_replace({norm}, {q(pat)}, {q(rep)}, 'g')"
-    rel = map_sql(V.RELATED)
+    rel = map_sql(V.RELATED_WORDS)
     toks = tokens_sql("description")
     singular = "CASE WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 4 THEN [substr(t, 1, length(t) - 1)] ELSE [] END"
     side = f"CASE WHEN {cue_sql('quote', ['bilateral', 'both'])} THEN 'BILATERAL' WHEN {cue_sql('quote', ['right', 'rt'])} THEN 'RIGHT' WHEN {cue_sql('quote', ['left', 'lt'])} THEN 'LEFT' ELSE 'NONE' END"
     pol = f"CASE WHEN {cue_sql('quote', V.NEGATION)} THEN 'NEGATED' WHEN {cue_sql('quote', V.UNCERTAINTY)} OR contains(quote, '?') THEN 'UNCERTAIN' ELSE 'AFFIRMED' END"
     high = ", ".join(map(q, V.HIGH_YIELD))
-    pol_line = pol.replace("quote", "line")
-    plain = "' ' || array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ') || ' '"
+    plain = r"' ' || array_to_string(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'), ' ') || ' '"
     return {
         "mention_extract": f"""
-WITH {sections_sql()}, e AS (SELECT {plain.format(c="description")} AS phrase, min(code) AS code FROM sample_hospital_icd WHERE description IS NOT NULL GROUP BY 1 HAVING trim(phrase) <> ''),
-x AS (SELECT id, line_no, line, {plain.format(c="line")} AS plain FROM l)
-SELECT id, CAST(line_no AS INTEGER) AS line_no, code, {pol_line} AS polarity FROM x JOIN e ON contains(plain, phrase)""",
+WITH {sections_sql()}, {_CLAUSES}, e AS (SELECT {plain.format(c="description")} AS phrase, min(code) AS code FROM sample_hospital_icd WHERE description IS NOT NULL GROUP BY 1 HAVING trim(phrase) <> ''),
+x AS (SELECT id, line_no, clause, {plain.format(c="clause")} AS plain FROM c)
+SELECT DISTINCT id, CAST(line_no AS INTEGER) AS line_no, code, {_polarity_sql("clause")} AS polarity FROM x JOIN e ON contains(plain, phrase)""",
+        "mention_phases": f"WITH {sections_sql()}, {phases_sql()} SELECT * FROM f",
+        "mention_roles": f"""
+WITH {sections_sql()}, {phases_sql()}, a AS (SELECT id, arg_min(term, (-score, term)) AS top FROM f WHERE polarity = 'AFFIRMED' AND role <> 'HISTORICAL' GROUP BY id)
+SELECT phase, CASE WHEN polarity = 'NEGATED' THEN 'RULED_OUT' WHEN polarity = 'UNCERTAIN' THEN 'UNCERTAIN' WHEN term = top THEN 'PRIMARY' ELSE role END AS final_role, count(*) AS n FROM f LEFT JOIN a USING (id) GROUP BY ALL""",
         "text_normalize": f"SELECT doc_id, length(n) AS n_chars_after, md5(n) AS digest FROM (SELECT doc_id, {norm} AS n FROM documents WHERE text IS NOT NULL)",
         "abbreviation_expand": f"SELECT DISTINCT md5(quote) AS key, {expand_sql('quote')} AS expanded FROM evidence_snippets WHERE quote IS NOT NULL",
         "token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY token",

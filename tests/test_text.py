@@ -31,7 +31,7 @@ def test_parse_flag(spark, value, want):
 def test_tokens(spark):
     assert one(spark, "Hx of HTN, T2DM (i50.21).", T.expand_abbreviations) == "Hx of hypertension type 2 diabetes mellitus i50 21"
     assert one(spark, "The HTN and a b x 2", T.clinical_tokens) == ["hypertension", "b", "2"]
-    assert one(spark, "kidney stones", lambda c: T.related_tokens(T.clinical_tokens(c))) == ["kidney", "stones", "renal", "nephropathy", "stone"]
+    assert one(spark, "kidney stones", lambda c: T.related_tokens(T.clinical_tokens(c))) == ["kidney", "stones", "renal", "nephropathy", "calculus", "calculi", "stone", "cholelithiasis", "gallstone", "gallstones"]
 
 
 def test_normalize(spark):
