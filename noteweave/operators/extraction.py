@@ -22,7 +22,7 @@ from noteweave.operators import mentions, notes, terms
 
 #: Phases in order: name, sections, cue that a term follows (none: the whole clause), role, score.
 PHASES = [
-    ("diagnosis_list", ["DISCHARGE_DIAGNOSES", "PRINCIPAL_DIAGNOSIS", "SECONDARY_DIAGNOSES", "DISCHARGE_SUMMARY", "ASSESSMENT"], "", "SECONDARY", 5.0),
+    ("diagnosis_list", ["DISCHARGE_DIAGNOSES", "PRINCIPAL_DIAGNOSIS", "SECONDARY_DIAGNOSES", "DISCHARGE_SUMMARY", "ASSESSMENT"], "", "SECONDARY", 10.0),
     ("complaint", ["CHIEF_COMPLAINT"], "", "SECONDARY", 2.0),
     ("history", ["PAST_MEDICAL_HISTORY", "PAST_SURGICAL_HISTORY"], "", "HISTORICAL", -10.0),
     ("course", ["HOSPITAL_COURSE", "COMPLICATIONS"], "developed|complicated by|found to have|diagnosed with|treated for|admitted with|presented with|evidence of|because of|suffered", "SECONDARY", 4.0),
@@ -77,19 +77,19 @@ def raw_mentions(docs: DataFrame) -> DataFrame:
 
 
 def mentions_of(docs: DataFrame) -> DataFrame:
-    """One row per note and term: id, term, phase, section, polarity, acuity, side, role, score, n_mentions, n_phases.
+    """One row per note and term: id, term, phase, section, polarity, acuity, side, role, score, line_no, n_mentions, n_phases.
 
     An affirmed statement wins over an uncertain one, that over a negated one; then the best score, then the first place.
     """
     m = raw_mentions(docs)
     sure = F.when(F.col("polarity") == "AFFIRMED", 0).when(F.col("polarity") == "UNCERTAIN", 1).otherwise(2)
-    best = F.min_by(F.struct("phase", "section", "polarity", "acuity", "side", "role", "score"), F.struct(sure, -F.col("score"), F.col("phase_no"), F.col("line_no"), F.col("clause_no")))
+    best = F.min_by(F.struct("phase", "section", "polarity", "acuity", "side", "role", "score", "line_no"), F.struct(sure, -F.col("score"), F.col("phase_no"), F.col("line_no"), F.col("clause_no")))
     return m.groupBy("id", "term").agg(best.alias("b"), F.count("*").alias("n_mentions"), F.countDistinct("phase").alias("n_phases")).select("id", "term", "b.*", "n_mentions", "n_phases")
 
 
 def with_primary(folded: DataFrame) -> DataFrame:
-    """The mentions with `final_role`: the best affirmed current one of a note is PRIMARY (a list's first), negated ones are RULED_OUT."""
+    """The mentions with `final_role`: the best affirmed current one of a note is PRIMARY (of equals the first), negated ones are RULED_OUT."""
     ok = (F.col("polarity") == "AFFIRMED") & (F.col("role") != "HISTORICAL")
-    first = folded.where(ok).groupBy("id").agg(F.min_by("term", F.struct(-F.col("score"), F.col("term"))).alias("first"))
+    first = folded.where(ok).groupBy("id").agg(F.min_by("term", F.struct(-F.col("score"), F.col("line_no"), F.col("term"))).alias("first"))
     role = F.when(F.col("polarity") == "NEGATED", "RULED_OUT").when(F.col("polarity") == "UNCERTAIN", "UNCERTAIN").when(F.col("term") == F.col("first"), "PRIMARY").otherwise(F.col("role"))
     return folded.join(first, "id", "left").withColumn("final_role", role).drop("first")

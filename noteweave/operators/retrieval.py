@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions import text as T
+from noteweave.functions import values as V
 from noteweave.operators import matching, terms
 from noteweave.session import cut
 
@@ -49,7 +50,11 @@ def corpus_size(docs: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, row_id, score) > 0 of queries (query_id, tokens); repeated query tokens count again."""
     post = postings(docs)
-    idf = idf_table(post, corpus_size(docs))
+    return bm25_on(queries, post, idf_table(post, corpus_size(docs)))
+
+
+def bm25_on(queries: DataFrame, post: DataFrame, idf: DataFrame) -> DataFrame:
+    """The same, on postings and idf as they are (of an index, say)."""
     q = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     hit = q.join(post.join(idf, "term"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -63,11 +68,14 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id", score: str = "score") -
 
 
 def lexical(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, row_id, lexical): half the share of the best raw score, half the share of query tokens covered."""
+    """(query_id, row_id, lexical): half the share of the best raw score, half the share of query tokens covered (by themselves or a related form)."""
     hits = top_k(bm25(queries, docs), k).withColumn("raw", F.round("score", 4))
     best = F.max("raw").over(Window.partitionBy("query_id"))
     full = hits.withColumn("best", best).join(queries.select("query_id", F.col("tokens").alias("qt")), "query_id").join(docs.select("row_id", F.col("tokens").alias("dt")), "row_id")
-    cover = F.size(F.filter("qt", lambda t: F.array_contains(F.col("dt"), t))) / F.size("qt")
+    rel, none = T.literal_map(V.RELATED), F.array().cast("array<string>")
+    single = lambda t: F.when(t.endswith("s") & ~t.endswith("ss") & (F.length(t) > 4), F.array(t.substr(F.lit(1), F.length(t) - 1))).otherwise(none)
+    forms = lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(rel, t), none), single(t))
+    cover = F.size(F.filter("qt", lambda t: F.arrays_overlap(F.col("dt"), forms(t)))) / F.size("qt")
     return full.select("query_id", "row_id", F.round(0.5 * F.col("raw") / F.col("best") + 0.5 * cover, 4).alias("lexical"))
 
 

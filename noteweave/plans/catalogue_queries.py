@@ -76,7 +76,7 @@ def clean_sql(c: str = "code") -> str:
 
 def formatted_sql(c: str = "code") -> str:
     t, u = _TRIM.format(c=c), clean_sql(c)
-    return rf"CASE WHEN {t} = '' THEN '' WHEN regexp_full_match({t}, '\d+') THEN {t} WHEN regexp_full_match({t}, '\d{{4}}[A-Za-z]') THEN upper({t}) WHEN contains({t}, '.') THEN upper({t}) WHEN length({u}) > 3 AND regexp_matches({u}, '^[A-Z][0-9]') THEN substr({u}, 1, 3) || '.' || substr({u}, 4) ELSE {u} END"
+    return rf"CASE WHEN {t} = '' THEN '' WHEN regexp_full_match({t}, '\d+') THEN {t} WHEN regexp_full_match({t}, '\d{{4}}[A-Za-z]') THEN upper({t}) WHEN regexp_full_match({t}, '(?i)M[89]\d{{3}}[./]\d') THEN upper({t}) WHEN contains({t}, '.') THEN upper({t}) WHEN length({u}) > 3 AND regexp_matches({u}, '^[A-Z][0-9]') THEN substr({u}, 1, 3) || '.' || substr({u}, 4) ELSE {u} END"
 
 
 def valid_sql(c: str = "code") -> str:

@@ -191,7 +191,7 @@ k AS (SELECT *, {_kind_sql("term")} AS kind, {_polarity_sql("clause")} AS polari
 r AS (SELECT *, CASE WHEN treated THEN 'SECONDARY' ELSE role0 END AS role, CASE WHEN polarity = 'NEGATED' THEN -50.0 ELSE
   CASE WHEN treated THEN 3.0 WHEN phase = 'complaint' AND kind <> 'SYMPTOM' THEN 3.5 WHEN phase = 'investigation' AND contains(clause, '?') THEN -5.0 ELSE score0 END
   + CASE WHEN phase IN ('course', 'procedure') AND acuity IN ('ACUTE', 'ACUTE_ON_CHRONIC') THEN 1.0 ELSE 0.0 END END AS score FROM k WHERE kind <> 'OTHER'),
-f AS (SELECT id, term, unnest(arg_min({{'phase': phase, 'section': section, 'polarity': polarity, 'acuity': acuity, 'side': side, 'role': role, 'score': CAST(score AS DOUBLE)}},
+f AS (SELECT id, term, unnest(arg_min({{'phase': phase, 'section': section, 'polarity': polarity, 'acuity': acuity, 'side': side, 'role': role, 'score': CAST(score AS DOUBLE), 'line_no': CAST(line_no AS INTEGER)}},
   (CASE polarity WHEN 'AFFIRMED' THEN 0 WHEN 'UNCERTAIN' THEN 1 ELSE 2 END, -score, phase_no, line_no, clause_no))), count(*) AS n_mentions, count(DISTINCT phase) AS n_phases FROM r GROUP BY id, term)"""
 
 
@@ -213,7 +213,7 @@ x AS (SELECT id, line_no, clause, {plain.format(c="clause")} AS plain FROM c)
 SELECT DISTINCT id, CAST(line_no AS INTEGER) AS line_no, code, {_polarity_sql("clause")} AS polarity FROM x JOIN e ON contains(plain, phrase)""",
         "mention_phases": f"WITH {sections_sql()}, {phases_sql()} SELECT * FROM f",
         "mention_roles": f"""
-WITH {sections_sql()}, {phases_sql()}, a AS (SELECT id, arg_min(term, (-score, term)) AS top FROM f WHERE polarity = 'AFFIRMED' AND role <> 'HISTORICAL' GROUP BY id)
+WITH {sections_sql()}, {phases_sql()}, a AS (SELECT id, arg_min(term, (-score, line_no, term)) AS top FROM f WHERE polarity = 'AFFIRMED' AND role <> 'HISTORICAL' GROUP BY id)
 SELECT phase, CASE WHEN polarity = 'NEGATED' THEN 'RULED_OUT' WHEN polarity = 'UNCERTAIN' THEN 'UNCERTAIN' WHEN term = top THEN 'PRIMARY' ELSE role END AS final_role, count(*) AS n FROM f LEFT JOIN a USING (id) GROUP BY ALL""",
         "text_normalize": f"SELECT doc_id, length(n) AS n_chars_after, md5(n) AS digest FROM (SELECT doc_id, {norm} AS n FROM documents WHERE text IS NOT NULL)",
         "abbreviation_expand": f"SELECT DISTINCT md5(quote) AS key, {expand_sql('quote')} AS expanded FROM evidence_snippets WHERE quote IS NOT NULL",

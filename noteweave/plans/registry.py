@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteweave.plans import catalogue_queries, context_queries, note_queries, problems, retrieval_queries, store_queries, term_queries
+from noteweave.plans import catalogue_queries, context_queries, note_queries, problems, retrieval_queries, rule_queries, store_queries, term_queries
 
-MODULES = [problems, catalogue_queries, retrieval_queries, note_queries, store_queries, term_queries, context_queries]
+MODULES = [problems, catalogue_queries, retrieval_queries, note_queries, store_queries, term_queries, context_queries, rule_queries]
 
 
 def queries() -> dict:

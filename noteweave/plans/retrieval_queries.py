@@ -130,7 +130,8 @@ hits AS (SELECT query_id, row_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (
 def sql() -> dict[str, str]:
     queries = f"SELECT row_id AS query_id, {tokens_sql('description')} AS tokens FROM hospital_icd_uploads WHERE row_id % 50 = 0 AND description IS NOT NULL"
     ranked = lambda src, k: f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM {src} WHERE score > 0 QUALIFY rank <= {k})"
-    cover = lambda k, src="hits", a="asked": f"SELECT h.query_id, h.row_id, round(0.5 * h.score / max(h.score) OVER (PARTITION BY h.query_id) + 0.5 * len(list_filter(a.tokens, lambda t: list_contains(d.tokens, t))) / len(a.tokens), 4) AS lexical FROM {ranked(src, k)} h JOIN {a} a USING (query_id) JOIN docs d USING (row_id)"
+    _RELATED = map_sql(V.RELATED)
+    cover = lambda k, src="hits", a="asked": f"SELECT h.query_id, h.row_id, round(0.5 * h.score / max(h.score) OVER (PARTITION BY h.query_id) + 0.5 * len(list_filter(a.tokens, lambda t: list_has_any(d.tokens, [t] || coalesce({_RELATED}[t], []) || CASE WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 4 THEN [substr(t, 1, length(t) - 1)] ELSE [] END))) / len(a.tokens), 4) AS lexical FROM {ranked(src, k)} h JOIN {a} a USING (query_id) JOIN docs d USING (row_id)"
     words = r"list_filter(regexp_split_to_array(lower({t}), '\s+'), lambda w: w <> '')"
     feats = lambda src: f"""SELECT id, idx, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS weight FROM (SELECT id, h % 384 AS idx, sum(CASE WHEN h % 2 = 0 THEN v ELSE -v END) AS v FROM (
 SELECT id, v, CAST('0x' || substr(md5(f), 1, 8) AS BIGINT) AS h FROM (SELECT id, 'w_' || unnest(w) AS f, 1.5 AS v FROM ({src}) UNION ALL
