@@ -47,7 +47,7 @@ def section_segment(spark, d):
     return N.sections(_docs(spark, d))
 
 
-def page_offsets(spark, d):
+def line_offsets(spark, d):
     return N.lines_of(_docs(spark, d)).groupBy("id").agg(F.count("*").alias("n_lines"), F.max("start_char").alias("last_start"))
 
 
@@ -127,7 +127,7 @@ def mention_sections(spark, d):
     return m.groupBy("section", "polarity").agg(F.count("*").alias("n_mentions"))
 
 
-QUERIES = {f.__name__: f for f in (mention_extract, mention_phases, mention_roles, mention_sections, concept_match, pipeline_codes, text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, page_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
+QUERIES = {f.__name__: f for f in (mention_extract, mention_phases, mention_roles, mention_sections, concept_match, pipeline_codes, text_normalize, abbreviation_expand, token_counts, morphology_expand, section_segment, line_offsets, char_to_section, high_yield_text, polarity_certainty_cues, verbatim_spans, admitting_scores, role_ranking, single_primary_violation, mention_reconcile, evidence_merge)}
 
 
 def cue_sql(c: str, cues: list[str]) -> str:
@@ -220,7 +220,7 @@ SELECT phase, CASE WHEN polarity = 'NEGATED' THEN 'RULED_OUT' WHEN polarity = 'U
         "token_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents WHERE text IS NOT NULL) GROUP BY token",
         "morphology_expand": f"SELECT row_id, array_to_string(list_sort(list_distinct(tk || flatten(list_transform(tk, lambda t: coalesce({rel}[t], []) || {singular})))), ' ') AS words FROM (SELECT row_id, {toks} AS tk FROM sample_hospital_icd WHERE description IS NOT NULL)",
         "section_segment": f"WITH {sections_sql()} SELECT * FROM s",
-        "page_offsets": f"WITH {sections_sql()} SELECT id, count(*) AS n_lines, CAST(max(start_char) AS BIGINT) AS last_start FROM l GROUP BY id",
+        "line_offsets": f"WITH {sections_sql()} SELECT id, count(*) AS n_lines, CAST(max(start_char) AS BIGINT) AS last_start FROM l GROUP BY id",
         "high_yield_text": f"WITH {sections_sql()} SELECT id, count(*) AS n_sections, CAST(sum(end_char - start_char) AS BIGINT) AS n_chars FROM s WHERE section IN ({high}) GROUP BY id",
         "char_to_section": f"""
 WITH {sections_sql()}, o AS (SELECT document_id, min(id) AS id FROM clinical_documents WHERE text IS NOT NULL GROUP BY 1),

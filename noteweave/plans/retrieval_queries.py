@@ -16,7 +16,7 @@ def _docs(spark, d):
 
 
 def _full_docs(spark, d):
-    """Docs with inclusion terms too. The SQL twins of bm25_* and hybrid_by_system fix the text without them (_docs)."""
+    """Docs with inclusion terms too. The SQL twins of bm25_* and lexical_by_chapter fix the text without them (_docs)."""
     s = table(spark, d, "sample_hospital_icd").where("description is not null")
     return s.select("row_id", T.clinical_tokens(F.concat_ws(" ", T.unformat_code(F.col("code")), "description", "inclusion_terms", "synonyms")).alias("tokens"))
 
@@ -64,7 +64,7 @@ def hybrid_topk(spark, d):
     return R.fuse(lex, _semantic(spark, d), 10, 0.2).select("query_id", "row_id", "score", "provenance", "rank")
 
 
-def hybrid_by_system(spark, d):
+def lexical_by_chapter(spark, d):
     """The best two of each query in each chapter of the catalogue by the lexical score, as its SQL twin says; the window of 350 comes before the chapters."""
     lex = R.lexical(_queries(spark, d), _docs(spark, d), 350)
     chapter = table(spark, d, "sample_hospital_icd").select("row_id", F.col("code").substr(1, 1).alias("chapter"))
@@ -94,7 +94,7 @@ def concept_jaccard(spark, d):
     return c.select("raw_term", "normalized_diagnosis", F.round(F.when(whole > 0, shared / whole).otherwise(0.0), 4).alias("jaccard"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_idf, bm25_topk, bm25_coverage, hash_embed, vector_topk, hybrid_topk, hybrid_by_system, hybrid_fused_by_system, retry_union_max, concept_jaccard)}
+QUERIES = {f.__name__: f for f in (bm25_idf, bm25_topk, bm25_coverage, hash_embed, vector_topk, hybrid_topk, lexical_by_chapter, hybrid_fused_by_system, retry_union_max, concept_jaccard)}
 
 
 def q(s: str) -> str:
@@ -148,7 +148,7 @@ SELECT id, 'c_' || substr(x, CAST(i AS BIGINT), 3), 0.5 FROM (SELECT id, x, unne
         "vector_topk": """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 50 = 0)
 SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s QUALIFY rank <= 10""",
-        "hybrid_by_system": f"""
+        "lexical_by_chapter": f"""
 WITH {_bm25(queries)}, lex AS ({cover(350)}), s AS (SELECT query_id, substr(code, 1, 1) AS chapter, row_id, lexical AS score FROM lex JOIN sample_hospital_icd USING (row_id))
 SELECT query_id, chapter, row_id, score, row_number() OVER (PARTITION BY query_id, chapter ORDER BY score DESC, row_id) AS rank FROM s QUALIFY rank <= 2""",
         "concept_jaccard": f"SELECT DISTINCT raw_term, normalized_diagnosis, round(CASE WHEN len(list_distinct({a} || {b})) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct({a} || {b})) ELSE 0 END, 4) AS jaccard FROM diagnosis_candidates WHERE raw_term IS NOT NULL AND normalized_diagnosis IS NOT NULL",

@@ -44,7 +44,8 @@ def sql() -> dict[str, str]:
     clean = lambda c: f"upper(regexp_replace({c}, '[^A-Za-z0-9]', '', 'g'))"
     flag = f"lower({trim.format(c='is_valid_billable')})"
     side = lambda c: f"CASE WHEN {cue_sql(c, ['bilateral', 'both'])} THEN 'BILATERAL' WHEN {cue_sql(c, ['right', 'rt'])} THEN 'RIGHT' WHEN {cue_sql(c, ['left', 'lt'])} THEN 'LEFT' ELSE 'NONE' END"
-    edges = rf"""e0 AS (SELECT {clean("code")} AS a, {clean("unnest(regexp_extract_all(exclusion_terms, '([A-Z][0-9][0-9](?:\.[0-9A-Z]+)?)', 1))")} AS b FROM sample_hospital_icd WHERE exclusion_terms IS NOT NULL),
+    named = r"unnest(regexp_extract_all(exclusion_terms, '([A-Z][0-9][0-9](?:\.[0-9A-Z]+)?)', 1))"
+    edges = rf"""e0 AS (SELECT {clean("code")} AS a, {clean(named)} AS b FROM sample_hospital_icd WHERE exclusion_terms IS NOT NULL),
 e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM e0 WHERE a <> b)"""
     return {
         "code_validation": f"""

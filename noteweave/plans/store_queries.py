@@ -80,7 +80,7 @@ def code_consolidate(spark, d):
     return S.consolidate(_m(spark, d))
 
 
-def subsume_codes(spark, d):
+def subsume_category_codes(spark, d):
     u = table(spark, d, "hospital_icd_uploads").where("code is not null")
     code = F.upper(F.regexp_replace("code", "[^A-Za-z0-9]", ""))
     coded = u.select(F.col("site_id").alias("group_id"), code.alias("code")).distinct()
@@ -104,7 +104,7 @@ def thread_latest(spark, d):
     return S.thread_latest(_e(spark, d)).select("user_id", "last_step", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"), "n_steps")
 
 
-def step_progress(spark, d):
+def event_type_progress(spark, d):
     return S.step_progress(_e(spark, d))
 
 
@@ -116,7 +116,7 @@ def batch_status(spark, d):
     return S.batch_status(_d(spark, d))
 
 
-def quality_metrics(spark, d):
+def term_agreement(spark, d):
     """Of mentions with both terms, how many agree word for word, and how many agree in case-free text."""
     m = table(spark, d, "diagnosis_candidates").where("raw_term is not null and normalized_diagnosis is not null")
     same = F.lower(F.trim("raw_term")) == F.lower(F.trim("normalized_diagnosis"))
@@ -132,7 +132,7 @@ def run_sessions(spark, d):
     return S.run_sessions(_e(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (store_search, store_page, store_upsert, store_delete_cascade, export_frame, analytics_totals, analytics_by_status, analytics_top_primary, analytics_top_secondary, analytics_abstention_dist, analytics_rollup, code_consolidate, subsume_codes, drop_coded_abstentions, document_status, audit_trail, thread_latest, step_progress, latency_breakdown, batch_status, quality_metrics, run_rate_tumbling, run_sessions)}
+QUERIES = {f.__name__: f for f in (store_search, store_page, store_upsert, store_delete_cascade, export_frame, analytics_totals, analytics_by_status, analytics_top_primary, analytics_top_secondary, analytics_abstention_dist, analytics_rollup, code_consolidate, subsume_category_codes, drop_coded_abstentions, document_status, audit_trail, thread_latest, event_type_progress, latency_breakdown, batch_status, term_agreement, run_rate_tumbling, run_sessions)}
 
 
 def sql() -> dict[str, str]:
@@ -157,7 +157,7 @@ count(*) FILTER (role = 'PRIMARY') AS n_primary, count(*) FILTER (NOT coalesce(i
         "analytics_abstention_dist": f"WITH {MENTIONS} SELECT coalesce(assertion_status, 'NONE') AS assertion_status, coalesce(certainty, 'NONE') AS certainty, count(*) AS n FROM m WHERE NOT coalesce(is_authorized, true) GROUP BY 1, 2",
         "analytics_rollup": "SELECT coalesce(a, 'ALL') AS status, coalesce(b, 'ALL') AS source_type, count(*) AS n FROM (SELECT coalesce(status, 'NONE') AS a, coalesce(source_type, 'NONE') AS b FROM clinical_documents) GROUP BY ROLLUP (a, b)",
         "code_consolidate": f"WITH {MENTIONS} SELECT document_id, lower(trim(raw_term, ' ')) AS term, max(CASE WHEN role = 'PRIMARY' THEN 1 ELSE 0 END) AS is_primary, max(coalesce(candidate_confidence, 0.0)) AS confidence, count(*) AS n_merged FROM m WHERE trim(raw_term, ' ') <> '' GROUP BY 1, 2",
-        "subsume_codes": f"""
+        "subsume_category_codes": f"""
 WITH c AS (SELECT DISTINCT site_id AS group_id, {clean} AS code FROM hospital_icd_uploads WHERE code IS NOT NULL), s AS (SELECT DISTINCT {clean} AS strong FROM sample_hospital_icd)
 SELECT group_id, code FROM c WHERE NOT EXISTS (SELECT 1 FROM c x JOIN s ON s.strong = x.code WHERE x.group_id = c.group_id AND length(s.strong) > 3 AND substr(s.strong, 1, 3) = c.code)""",
         "drop_coded_abstentions": f"""
@@ -170,10 +170,10 @@ SELECT document_id, CASE WHEN coalesce(ok, 0) = 0 THEN 'ABSTAINED' WHEN ok < n T
 WITH {MENTIONS}, d AS (SELECT document_id, max_by({{'s': status}}, (received_at, id)).s AS status FROM clinical_documents GROUP BY 1), s AS (SELECT diagnosis_id, count(DISTINCT snippet_id) AS n FROM evidence_snippets WHERE diagnosis_id IS NOT NULL GROUP BY 1)
 SELECT m.diagnosis_id, m.document_id, coalesce(d.status, 'NONE') AS status, coalesce(s.n, 0) AS n_snippets FROM m LEFT JOIN d USING (document_id) LEFT JOIN s USING (diagnosis_id)""",
         "thread_latest": "SELECT user_id, max_by(event_type, (ts, event_id)) AS last_step, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS n_steps FROM events GROUP BY 1",
-        "step_progress": "SELECT user_id, round(least(100.0, 100.0 * count(DISTINCT event_type) / 10), 1) AS percent FROM events GROUP BY 1",
+        "event_type_progress": "SELECT user_id, round(least(100.0, 100.0 * count(DISTINCT event_type) / 10), 1) AS percent FROM events GROUP BY 1",
         "latency_breakdown": "SELECT event_type, count(*) AS n, round(avg(ms), 2) AS avg_ms, max(ms) AS max_ms FROM (SELECT event_type, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1000 AS ms FROM events) WHERE ms IS NOT NULL GROUP BY 1",
         "batch_status": "SELECT site_id, count(*) AS n, count(*) FILTER (trim(text, ' ') <> '') AS n_ready, count(*) FILTER (coalesce(trim(text, ' '), '') = '') AS n_empty, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars FROM clinical_documents GROUP BY 1",
-        "quality_metrics": "SELECT entity_type, count(*) AS n, round(100.0 * count(*) FILTER (raw_term = normalized_diagnosis) / count(*), 2) AS exact_percent, round(100.0 * count(*) FILTER (lower(trim(raw_term, ' ')) = lower(trim(normalized_diagnosis, ' '))) / count(*), 2) AS caseless_percent FROM diagnosis_candidates WHERE raw_term IS NOT NULL AND normalized_diagnosis IS NOT NULL GROUP BY 1",
+        "term_agreement": "SELECT entity_type, count(*) AS n, round(100.0 * count(*) FILTER (raw_term = normalized_diagnosis) / count(*), 2) AS exact_percent, round(100.0 * count(*) FILTER (lower(trim(raw_term, ' ')) = lower(trim(normalized_diagnosis, ' '))) / count(*), 2) AS caseless_percent FROM diagnosis_candidates WHERE raw_term IS NOT NULL AND normalized_diagnosis IS NOT NULL GROUP BY 1",
         "run_rate_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
         "run_sessions": """
 WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
