@@ -91,12 +91,38 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """By suffix: .json, .xlsx/.xls, .txt (fixed width), else delimited."""
+    """By suffix: .json, .xlsx/.xls, .txt (fixed width), else delimited; a folder gives all its files in the order of names."""
+    files = files_in(spark, path)
+    if files is not None:
+        return read_files(spark, files)
     suffix = os.path.splitext(path)[1].lower()
     reader = {".json": read_json, ".xlsx": read_spreadsheet, ".xls": read_spreadsheet, ".txt": read_fixed_width}.get(suffix, read_delimited)
     return reader(spark, path)
 
 
+#: Suffixes of catalogue files in a folder.
+SUFFIXES = (".csv", ".tsv", ".json", ".xlsx", ".xls", ".txt")
+
+
+def files_in(spark: SparkSession, path: str) -> list[str] | None:
+    """The catalogue files of a folder (on whatever file system Spark reads), sorted; None if the path is no folder."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
+        return None
+    return sorted(str(f.getPath()) for f in fs.listStatus(where) if f.isFile() and str(f.getPath().getName()).lower().endswith(SUFFIXES))
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Several files as one catalogue: rows of an earlier file come first (by row_id), so that the first of a code wins."""
+    out = spark.createDataFrame([], "row_id long, " + ", ".join(f"{f} string" for f in FIELDS))
+    for k, path in enumerate(paths):
+        one = read_catalog(spark, path)
+        out = out.unionByName(one.withColumn("row_id", F.col("row_id") + F.lit(k << 50)))
+    return out
+
+
 def write_catalog(df: DataFrame, folder: str) -> None:
     """The catalogue as Parquet, by chapter, so that a filter on it reads one folder."""
     df.withColumn("chapter", F.upper(F.substring("code", 1, 1))).write.mode("overwrite").partitionBy("chapter").parquet(folder)

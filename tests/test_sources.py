@@ -38,3 +38,15 @@ def test_pages(spark):
 def test_lines(spark, tmp_path):
     (tmp_path / "s.csv").write_text("h\na\n\nb\n")
     assert [(r["line_no"], r["raw_line"]) for r in catalogs.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(1, "h"), (2, "a"), (4, "b")]
+
+
+def test_folder_of_catalogues(spark, tmp_path):
+    """The first file by name wins, whatever its size; other files are left out."""
+    (tmp_path / "b.csv").write_text("code,description\nI10,second\n" + "".join(f"A{k:02}.0,x\n" for k in range(50)))
+    (tmp_path / "a.json").write_text('[{"code": "I10", "description": "first"}]')
+    (tmp_path / "notes.md").write_text("code")
+    rows = catalogs.read_catalog(spark, str(tmp_path))
+    merged = {r["clean"]: r["description"] for r in catalogue.merge_duplicates(catalogue.standard_rows(rows)).collect()}
+    assert merged["I10"] == "first" and len(merged) == 51
+    (tmp_path / "empty").mkdir()
+    assert catalogs.read_catalog(spark, str(tmp_path / "empty")).count() == 0
