@@ -99,6 +99,18 @@ def test_shares(spark):
     assert order == sorted(order)
 
 
+def test_budget(spark):
+    """A given total is kept; a source that can't fill its share ends and is reported."""
+    rows = [(i, "big", "word " * 20) for i in range(400)] + [(1000 + i, "small", "word " * 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    one = mixture.sized(spark, docs).agg(F.max("n_tokens")).first()[0]
+    some = {r["source"]: r for r in mixture.shares(spark, docs, t, budget=40 * one).collect()}
+    assert some["big"]["n_used"] == 20 == some["small"]["n_used"] and some["big"]["outcome"] == "reached" == some["small"]["outcome"]
+    most = {r["source"]: r for r in mixture.shares(spark, docs, t, budget=400 * one).collect()}
+    assert most["big"]["n_used"] == 200 and most["small"]["n_used"] == 80 and most["small"]["most_repeats"] == 2 and most["small"]["outcome"] == "repeats used up"
+
+
 def test_buckets_give_the_same_order(spark, monkeypatch):
     rows = [(i, "a", "w " * (i % 7)) for i in range(300)]
     one = [(r["doc_id"], r["finish"]) for r in _mix(spark, rows, [("a", 1.0, 2)])[0].collect()]
