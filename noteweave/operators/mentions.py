@@ -2,7 +2,8 @@
 
 Each description is looked up by its rarest word only; the whole description is then verified at word boundaries. So the
 lines meet the catalogue in one hash join on a word, and a word that is common in lines but in no description's rarest place
-joins nothing.
+joins nothing: most such words fall out before, by a set of hashes of a fixed size. The notes' words are far larger than
+their files tell, so the join is an outer one, of which only the catalogue's side may be broadcast.
 
 Cases: null and blank lines and descriptions mention nothing; a description that stands twice in a line counts once; of
 equal descriptions the smallest code is given; empty tables give empty results.
@@ -30,6 +31,8 @@ def rare_words(entries: DataFrame) -> DataFrame:
     return each.join(df, "word").groupBy("phrase", "code").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
 
 
+#: Places of the hashes of rarest words.
+SPOTS = 1 << 16
 #: Where a clause ends.
 CLAUSE = r"[.!?]+\s+|;\s*|,?\s+but\s+|,?\s+although\s+"
 
@@ -44,8 +47,11 @@ def extract(docs: DataFrame, entries: DataFrame) -> DataFrame:
     polarity of that clause; the question mark at its end counts."""
     rare = rare_words(entries)
     parts = clauses(notes.lines_of(docs)).select("id", "line_no", "start_char", "section", "clause_no", "clause", F.concat(F.lit(" "), F.array_join(_words("clause"), " "), F.lit(" ")).alias("plain"))
-    each = parts.select("*", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word"))
-    hit = each.join(rare, "word").where(F.contains("plain", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
+    spot = F.pmod(F.xxhash64("word"), F.lit(SPOTS)).alias("spot")
+    each = parts.select("*", F.explode(F.array_distinct(F.split(F.trim("plain"), " "))).alias("word")).withColumn("spot", spot)
+    some = each.join(F.broadcast(rare.select(spot).distinct()), "spot", "left_semi")  # at most SPOTS rows on the right
+    named = F.contains("plain", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
+    hit = some.join(rare, "word", "left").where(F.coalesce(named, F.lit(False)))  # a plain condition would make it an inner join
     return hit.select("id", "line_no", "start_char", "section", "clause_no", "code", "phrase", T.polarity(F.col("clause")).alias("polarity"))
 
 
