@@ -96,18 +96,23 @@ def test_mention_by_clause_and_longest(spark):
     assert got == {("J18", "NEGATED"), ("N17", "AFFIRMED"), ("R10", "UNCERTAIN")}
 
 
+def _broadcasts_notes(df) -> bool:
+    """Whether a broadcast of the plan holds notes (taken apart in Python)."""
+    plan = [(len(x) - len(x.lstrip(" :+-")), x) for x in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+    assert any("ArrowEvalPython" in x for _, x in plan)
+    return any("BroadcastExchange" in x and any("ArrowEvalPython" in y for _, y in itertools.takewhile(lambda z: z[0] > depth, plan[k + 1 :])) for k, (depth, x) in enumerate(plan))  # noqa: B023
+
+
 def test_notes_words_are_never_broadcast(spark, tmp_path):
     rows = spark.createDataFrame([(f"A{k}", f"Disorder number {k} of the left side") for k in range(3000)], "code string, description string")  # longer than the notes
     rows.coalesce(1).write.parquet(f"{tmp_path}/entries")
     docs = spark.createDataFrame([(1, "No evidence of disorder number 7 of the left side."), (2, "Disorder number 8 of the right side.")], "id long, text string")
     docs.coalesce(1).write.parquet(f"{tmp_path}/docs")
     found = mentions.extract(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/entries"))
-    plan = [(len(x) - len(x.lstrip(" :+-")), x) for x in found._jdf.queryExecution().executedPlan().toString().split("\n")]
-    assert any("ArrowEvalPython" in x for _, x in plan)  # which takes the notes apart
-    for k, (depth, x) in enumerate(plan):
-        below = itertools.takewhile(lambda y: y[0] > depth, plan[k + 1 :])  # noqa: B023
-        assert "BroadcastExchange" not in x or not any("ArrowEvalPython" in y for _, y in below)
+    assert not _broadcasts_notes(found)
     assert [(r["id"], r["code"], r["polarity"]) for r in found.collect()] == [(1, "A7", "NEGATED")]
+    counted = mentions.longest(found).groupBy("section", "polarity").count()  # as mention_sections does
+    assert not _broadcasts_notes(counted) and [tuple(r) for r in counted.collect()] == [("GENERAL", "NEGATED", 1)]
 
 
 def test_index(spark, sf, tmp_path):
