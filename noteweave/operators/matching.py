@@ -35,31 +35,64 @@ def core_words(words: Column) -> Column:
     return F.when(F.size(core) > 0, core).otherwise(long)
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs (code, description, concept, evidence) with `score` in 0..1 and `exact`."""
-    rel = T.literal_map(V.RELATED)
-    d, c = concept_words(F.col("description")), concept_words(F.col("concept"))
-    x = pairs.withColumn("__d", d).withColumn("__c", c).withColumn("__core", core_words(F.col("__c")))
-    met = F.size(F.filter("__core", lambda t: F.array_contains(F.col("__d"), t) | F.arrays_overlap(F.coalesce(F.try_element_at(rel, t), F.array().cast("array<string>")), F.col("__d"))))
-    n = F.size("__core")
-    share = F.when(n > 0, met / n).otherwise(0.0)
-    whole = F.size(F.array_union("__c", "__d"))
-    jac = F.when(whole > 0, F.size(F.array_intersect("__c", "__d")) / whole).otherwise(0.0)
-    ctx = F.concat_ws(" ", F.lower("concept"), F.lower(F.coalesce("evidence", F.lit(""))))
-    a_doc, k_doc = T.has_cue(ctx, ["acute", "exacerbation", "decompensated"]), T.has_cue(ctx, ["chronic", "longstanding", "compensated"])
-    a, k = F.array_contains("__d", "acute"), F.array_contains("__d", "chronic")
+def concept_parts(concept: Column) -> Column:
+    """What the score needs of a concept alone: its words, how many differ, and the forms of each core word."""
+    rel, none = T.literal_map(V.RELATED), F.array().cast("array<string>")
+    words = concept_words(concept)
+    forms = F.transform(core_words(words), lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(rel, t), none)))
+    return F.struct(words.alias("words"), F.size(F.array_distinct(words)).alias("n"), forms.alias("forms"))
+
+
+def entry_parts(code: Column, description: Column) -> Column:
+    """What the score needs of an entry alone."""
+    d = concept_words(description)
+    has = lambda w: F.array_contains(d, w)
+    unspecified = code.rlike(r"\.(9|90|99)$") | has("unspecified")
+    return F.struct(d.alias("words"), F.size(F.array_distinct(d)).alias("n"), has("acute").alias("acute"), has("chronic").alias("chronic"), has("left").alias("left"), has("right").alias("right"), unspecified.alias("unspecified"))
+
+
+def text_cues(text: Column) -> Column:
+    """What the score needs of a text about a concept: cues as bits (acute, chronic, left, right, details). A text with
+    another one after it has the bits of both."""
+    cues = [["acute", "exacerbation", "decompensated"], ["chronic", "longstanding", "compensated"], ["left", "lt"], ["right", "rt"], DETAILS]
+    out = F.lit(0)
+    for k, words in enumerate(cues):
+        out = out + F.when(T.has_cue(text, words), 1 << k).otherwise(0)
+    return out
+
+
+def met_parts(pairs: DataFrame) -> DataFrame:
+    """pairs with `__c` (concept_parts) and `__e` (entry_parts), with `__m`: how far their words meet, whatever the evidence."""
+    met = F.size(F.filter("__c.forms", lambda f: F.arrays_overlap(f, F.col("__e.words"))))
+    x = pairs.withColumn("__met", met).withColumn("__both", F.size(F.array_intersect("__c.words", "__e.words")))
+    n, whole = F.size("__c.forms"), F.col("__c.n") + F.col("__e.n") - F.col("__both")
+    equal = (F.array_join("__c.words", " ") == F.array_join("__e.words", " ")) & (F.size("__c.words") > 0)
+    parts = F.struct(
+        F.when(n > 0, F.col("__met") / n).otherwise(0.0).alias("share"), F.when(whole > 0, F.col("__both") / whole).otherwise(0.0).alias("jac"),
+        F.when(F.col("__both") == F.col("__c.n"), 0.10).otherwise(0.0).alias("covered"), equal.alias("equal"), (F.col("__c.words").isNull() | (F.size("__c.words") == 0)).alias("wordless"),
+    )
+    return x.withColumn("__m", parts).drop("__met", "__both")
+
+
+def with_score(met: DataFrame) -> DataFrame:
+    """met (with `__m`, `__e`, and `__bits` of the concept and its evidence) with `score` in 0..1 and `exact`."""
+    bit = lambda k: F.col("__bits").bitwiseAND(1 << k) != 0
+    a_doc, k_doc, left, right, details = map(bit, range(5))
+    a, k, dl, dr = F.col("__e.acute"), F.col("__e.chronic"), F.col("__e.left"), F.col("__e.right")
+    share = F.col("__m.share")
     sharp = F.when(a & k, F.when(a_doc & k_doc, 0.10).otherwise(-0.20)).when(a, F.when(a_doc & ~k_doc, 0.10).when(k_doc & ~a_doc, -0.20).otherwise(0.0)).when(k, F.when(k_doc & ~a_doc, 0.10).when(a_doc & ~k_doc, -0.20).otherwise(0.0)).otherwise(0.0)
-    left, right = T.has_cue(ctx, ["left", "lt"]), T.has_cue(ctx, ["right", "rt"])
-    dl, dr = F.array_contains("__d", "left"), F.array_contains("__d", "right")
     same, other = (left & dl & ~dr) | (right & dr & ~dl), ((left & dr & ~dl) | (right & dl & ~dr)) & ~((left & dl) | (right & dr))
-    unspecified = F.col("code").rlike(r"\.(9|90|99)$") | F.array_contains("__d", "unspecified")
-    plain = F.when(unspecified, F.when(T.has_cue(ctx, DETAILS), -0.10).otherwise(0.08)).otherwise(0.0)
-    covered = F.when(F.size(F.array_except("__c", "__d")) == 0, 0.10).otherwise(0.0)
-    total = 0.50 + 0.35 * share + 0.15 * jac + covered + sharp + F.when(same, 0.15).otherwise(0.0) + plain
-    equal = (F.array_join("__c", " ") == F.array_join("__d", " ")) & (F.size("__c") > 0)
-    score = F.when(F.col("description").isNull() | F.col("concept").isNull() | (F.size("__c") == 0), 0.0).when(equal, 1.0).when((share == 0) | other, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4))
-    out = x.withColumn("score", score).withColumn("exact", equal | ((F.col("score") >= 0.95) & (share >= 0.9)))
-    return out.drop("__d", "__c", "__core")
+    plain = F.when(F.col("__e.unspecified"), F.when(details, -0.10).otherwise(0.08)).otherwise(0.0)
+    total = 0.50 + 0.35 * share + 0.15 * F.col("__m.jac") + F.col("__m.covered") + sharp + F.when(same, 0.15).otherwise(0.0) + plain
+    score = F.when(F.col("__e.words").isNull() | F.col("__m.wordless"), 0.0).when(F.col("__m.equal"), 1.0).when((share == 0) | other, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4))
+    return met.withColumn("score", score).withColumn("exact", F.col("__m.equal") | ((F.col("score") >= 0.95) & (share >= 0.9)))
+
+
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs (code, description, concept, evidence) with `score` in 0..1 and `exact`."""
+    text = F.concat_ws(" ", "concept", F.coalesce("evidence", F.lit("")))
+    x = pairs.withColumn("__c", concept_parts(F.col("concept"))).withColumn("__e", entry_parts(F.col("code"), F.col("description"))).withColumn("__bits", text_cues(text))
+    return with_score(met_parts(x)).drop("__c", "__e", "__m", "__bits")
 
 
 def best_match(scored: DataFrame, key: str | list[str], least: float = 0.35) -> DataFrame:

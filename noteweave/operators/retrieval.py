@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteweave.functions import text as T
@@ -67,15 +67,31 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id", score: str = "score") -
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def forms(t: Column) -> Column:
+    """A token, its related words and its singular."""
+    rel, none = T.literal_map(V.RELATED), F.array().cast("array<string>")
+    single = F.when(t.endswith("s") & ~t.endswith("ss") & (F.length(t) > 4), F.array(t.substr(F.lit(1), F.length(t) - 1))).otherwise(none)
+    return F.concat(F.array(t), F.coalesce(F.try_element_at(rel, t), none), single)
+
+
+def kinds(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, tokens) as lexical search sees them: in order, with a blank for each token of which no row holds any form.
+
+    Queries with equal tokens here have the same hits and scores, so such as differ in misspelt words only are searched once.
+    """
+    each = queries.select("query_id", F.explode("tokens").alias("t"))
+    held = docs.select(F.explode("tokens").alias("form")).distinct()
+    known = each.select("t").distinct().select("t", F.explode(forms(F.col("t"))).alias("form")).join(held, "form", "left_semi").select("t", F.lit(True).alias("known")).distinct()
+    token = F.when(F.col("known"), F.col("t")).otherwise(F.lit(""))
+    return each.join(known, "t", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+
+
 def lexical(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(query_id, row_id, lexical): half the share of the best raw score, half the share of query tokens covered (by themselves or a related form)."""
     hits = top_k(bm25(queries, docs), k).withColumn("raw", F.round("score", 4))
     best = F.max("raw").over(Window.partitionBy("query_id"))
-    full = hits.withColumn("best", best).join(queries.select("query_id", F.col("tokens").alias("qt")), "query_id").join(docs.select("row_id", F.col("tokens").alias("dt")), "row_id")
-    rel, none = T.literal_map(V.RELATED), F.array().cast("array<string>")
-    single = lambda t: F.when(t.endswith("s") & ~t.endswith("ss") & (F.length(t) > 4), F.array(t.substr(F.lit(1), F.length(t) - 1))).otherwise(none)
-    forms = lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(rel, t), none), single(t))
-    cover = F.size(F.filter("qt", lambda t: F.arrays_overlap(F.col("dt"), forms(t)))) / F.size("qt")
+    full = hits.withColumn("best", best).join(queries.select("query_id", F.transform("tokens", forms).alias("qt")), "query_id").join(docs.select("row_id", F.col("tokens").alias("dt")), "row_id")
+    cover = F.size(F.filter("qt", lambda fs: F.arrays_overlap(F.col("dt"), fs))) / F.size("qt")
     return full.select("query_id", "row_id", F.round(0.5 * F.col("raw") / F.col("best") + 0.5 * cover, 4).alias("lexical"))
 
 

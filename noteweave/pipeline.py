@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from noteweave.functions import text as T
 from noteweave.operators import catalogue, matching, mentions, notes, retrieval, store
 from noteweave.operators import terms as terms_
+from noteweave.session import cut
 from noteweave.sources import documents
 
 
@@ -30,23 +31,30 @@ class Run:
 def code_mentions(found: DataFrame, cat: DataFrame, docs: DataFrame, snippets: DataFrame | None = None, k: int = 10) -> DataFrame:
     """(document_id, term, code, final, exact): the best entry of every term of a document, by lexical retrieval and the concept score.
 
-    Distinct terms are searched once; the evidence that a score looks at is the document's own: the mention's quotes
-    (snippets) and the sentences that corroborate the term.
+    Terms are searched once for all that differ only in words that no entry knows, and meet an entry's words once for all
+    documents. The evidence that a score looks at is the document's own: the mention's quotes (snippets) and the sentences
+    that corroborate the term. All that counts of it are a few cues, so each term is decided once for each set of cues.
     """
-    merged = catalogue.merge_duplicates(catalogue.standard_rows(cat))
+    merged = cut(catalogue.merge_duplicates(catalogue.standard_rows(cat)))
     text = F.concat_ws(" ", "clean", "description", F.array_join("inclusion_terms", " "), F.array_join("synonyms", " "))
     entries = merged.select(F.col("first_ord").alias("row_id"), T.clinical_tokens(text).alias("tokens"))
-    all_ = found.where("raw_term is not null").withColumn("term", F.lower(F.trim("raw_term"))).where("term <> ''")
+    key = ["diagnosis_id"] if snippets is not None else []
+    all_ = cut(found.where("raw_term is not null").select(*key, "document_id", F.lower(F.trim("raw_term")).alias("term")).where("term <> ''"))
     terms = all_.select("term").distinct()
     queries = terms.select(F.xxhash64("term").alias("query_id"), "term", T.clinical_tokens(F.col("term")).alias("tokens")).where(F.size("tokens") > 0)
-    hits = retrieval.top_k(retrieval.lexical(queries.select("query_id", "tokens"), entries, 350), k, score="lexical")
+    seen = cut(retrieval.kinds(queries, entries).select("query_id", F.xxhash64("tokens").alias("kind_id"), "tokens"))
+    searched = seen.select(F.col("kind_id").alias("query_id"), "tokens").dropDuplicates(["query_id"])
+    hits = retrieval.top_k(retrieval.lexical(searched, entries, 350), k, score="lexical").select(F.col("query_id").alias("kind_id"), "row_id", F.col("lexical").alias("retrieval_score"))
+    known = merged.select(F.col("first_ord").alias("row_id"), F.col("formatted").alias("code"), "billable", matching.entry_parts(F.col("formatted"), F.col("description")).alias("__e"))
+    words = queries.select("query_id", "term", matching.concept_parts(F.col("term")).alias("__c")).join(seen.select("query_id", "kind_id"), "query_id")
+    pairs = matching.met_parts(words.join(hits, "kind_id").join(known, "row_id")).select("term", "code", "billable", "retrieval_score", "__e", "__m")
     quoted = all_.join(notes.merge_quotes(snippets), "diagnosis_id", "left") if snippets is not None else all_.withColumn("quotes", F.lit(None).cast("string"))
     named = quoted.groupBy("document_id", "term").agg(F.array_sort(F.collect_set("quotes")).alias("quotes"))
-    evidence = terms_.corroborate(named, docs)
-    cols = merged.select(F.col("first_ord").alias("row_id"), F.col("formatted").alias("code"), "description", "billable")
-    pairs = hits.join(cols, "row_id").join(queries.select("query_id", "term"), "query_id").join(evidence, "term")
-    scored = matching.score_pairs(pairs.select("document_id", "term", "code", "description", F.col("term").alias("concept"), "evidence", "billable", F.col("lexical").alias("retrieval_score")))
-    return matching.best_match(scored, ["document_id", "term"])
+    cues = matching.text_cues(F.concat_ws(" ", "term", "evidence"))
+    stated = cut(terms_.corroborate(named, docs).select("document_id", "term", cues.alias("__bits")))
+    scored = matching.with_score(stated.select("term", "__bits").distinct().join(pairs, "term"))
+    best = matching.best_match(scored, ["term", "__bits"])
+    return stated.join(best, ["term", "__bits"]).select("document_id", "term", "code", "final", "exact")
 
 
 def run(spark: SparkSession, docs: DataFrame, candidates: DataFrame, cat: DataFrame, folder: str | None = None, snippets: DataFrame | None = None) -> Run:

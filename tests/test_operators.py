@@ -98,6 +98,16 @@ def test_concept_scores(spark):
         assert 0 <= r["score"] <= 1 and (want is None and r["score"] > 0.5 or r["score"] == want)
 
 
+def test_queries_that_differ_in_unknown_words_are_searched_once(spark):
+    docs = spark.createDataFrame([(1, ["sprain", "knee"]), (2, ["cancer", "lung"]), (3, ["knee"])], "row_id long, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["zzq", "knee"]), (2, ["knee", "yyx"]), (3, ["knee"]), (4, ["carcinoma", "lungs"]), (5, ["zzq"])], "query_id long, tokens array<string>")
+    seen = R.kinds(asked, docs)
+    got = {r["query_id"]: r["tokens"] for r in seen.collect()}
+    assert got == {1: ["", "knee"], 2: ["", "knee"], 3: ["knee"], 4: ["carcinoma", "lungs"], 5: [""]}
+    of = lambda q: sorted(map(tuple, R.lexical(q, docs, 10).collect()))
+    assert of(seen) == of(asked) and len(of(asked)) == 6
+
+
 def test_store(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "document_id int, status string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "document_id int, status string")
