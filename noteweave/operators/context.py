@@ -27,10 +27,10 @@ def assess(mentions: DataFrame) -> DataFrame:
 def checks(ranked: DataFrame, coded: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(check, n_failed) of a result: one primary per document, codes known, scores in range. ranked: rank_roles; coded: (term, code, final)."""
     two = ranked.where("final_role = 'PRIMARY'").groupBy("document_id").count().where("count > 1").agg(F.count("*").alias("n_failed"))
-    unknown = coded.join(catalogue.select("code").distinct(), "code", "left_anti").agg(F.count("*").alias("n_failed"))
-    outside = coded.where("final < 0 or final > 1").agg(F.count("*").alias("n_failed"))
-    name = lambda df, n: df.select(F.lit(n).alias("check"), "n_failed")
-    return name(two, "one_primary").unionByName(name(unknown, "known_code")).unionByName(name(outside, "score_range"))
+    there = coded.join(catalogue.select("code", F.lit(True).alias("there")).distinct(), "code", "left")  # read once for both counts
+    counts = there.agg(F.count_if(F.col("there").isNull()).alias("known_code"), F.count_if((F.col("final") < 0) | (F.col("final") > 1)).alias("score_range"))
+    of = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("n_failed")) for n in ("known_code", "score_range")])).alias("c")).select("c.*")
+    return two.select(F.lit("one_primary").alias("check"), "n_failed").unionByName(of)
 
 
 def render(ranked: DataFrame, mentions: DataFrame) -> DataFrame:

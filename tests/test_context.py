@@ -44,3 +44,12 @@ def test_terms(spark):
 def test_boxes(spark):
     b = spark.createDataFrame([(1, 5.0, 1.0, "b", 0.5), (1, 1.0, 1.0, "a", None), (1, 0.0, 2.0, "c", 1.0)], "page_id int, x double, y double, text string, confidence double")
     assert tuple(documents.reading_order(b).first()) == (1, "a\nb\nc", 0.75)
+
+
+def test_checks_read_the_codes_once(spark):
+    ranked = spark.createDataFrame([("d1", "m1", "PRIMARY"), ("d1", "m2", "PRIMARY"), ("d2", "m3", "PRIMARY")], "document_id string, diagnosis_id string, final_role string")
+    coded = spark.createDataFrame([("a", "A01", 0.5), ("b", "A02", 1.5), ("c", "Z99", -0.1), ("d", None, 0.9), ("e", "A01", None)], "term string, code string, final double")
+    cat = spark.createDataFrame([("A01",), ("A02",), ("A02",)], "code string")
+    got = X.checks(ranked, coded, cat)
+    assert {r["check"]: r["n_failed"] for r in got.collect()} == {"one_primary": 1, "known_code": 2, "score_range": 2}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [term#") == 1
