@@ -275,6 +275,19 @@ def test_editor_on_unseen_words(corpus_words):
     assert 2 * hit / (2 * hit + wrong + missed) >= 0.9, (hit, wrong, missed)
 
 
+def test_frequent_words_are_no_misreadings(spark, monkeypatch):
+    """Whatever the editor scores: a word stands for itself if it stands more often than misreadings do."""
+    monkeypatch.setattr(scans, "train_words", lambda sample: scans.Perceptron({"bias": 100.0}))
+    n = {"month": 1446, "mouth": 15987, "post": 568, "past": 18893, "tel": 700, "tol": 47, "patient": 50856, "paticnt": 232, "pa+ient": 246, "thcrapy": 170, "therapy": 17447, "score": 16306, "scorc": 147, "stoma": 5000, "stona": 3}
+    words = spark.createDataFrame([(w, k, 0.0) for w, k in n.items()], "word string, df long, upper double")
+    assert {r["word"]: r["right"] for r in scans.corrections(spark, words).collect()} == {"paticnt": "patient", "pa+ient": "patient", "thcrapy": "therapy", "scorc": "score", "stona": "stoma"}
+    own = [(w, k, 0.0) for w, k in [*n.items(), ("siomach", 40), ("stomach", 9000), ("soiind", 41), ("sound", 9000)] if k > 4]
+    rate = scans.shares(own)
+    assert rate["c>e"] > 0 and "t>i" not in rate and rate.get("n>u", 0.0) == 0.0
+    assert scans.plausible("soiind", "sound", 41, 9000, rate) and not scans.plausible("siomach", "stomach", 40, 9000, rate)
+    assert scans.plausible("siomach", "stomach", 40, 9000, {"t>i": 0.0, "i>t": 0.004})  # as many as the corpus has it elsewhere
+
+
 def test_furniture_of_unseen_patterns():
     """Headers and page numbers of patterns that no labelled page has: F of at least 0.9."""
     heads = ["St Mary Teaching Hospital NHS Trust", "Dept. of Cardiology, {N}", "Printed on {D} 14:22", "{N} :: Ward notes", "Copy no. 4 // {N}", "MEDICAL FILE   {U}", "<{N}>", "Universitätsklinikum {N} Innere Medizin"]
