@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from noteweave.functions import text as T
 from noteweave.operators import catalogue, extraction, mentions, rules, splitters
+from noteweave.plans import note_queries
 from noteweave.sources import index
 
 
@@ -115,6 +116,17 @@ def test_notes_words_are_never_broadcast(spark, tmp_path):
     assert not _broadcasts_notes(counted) and [tuple(r) for r in counted.collect()] == [("GENERAL", "NEGATED", 1)]
 
 
+def test_mention_sections_counts_without_broadcast_notes(spark, tmp_path):
+    rows = spark.createDataFrame([(f"A{k}", f"Disorder number {k} of the left side") for k in range(3000)] + [("B1", "Left side")], "code string, description string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/sample_hospital_icd.parquet")
+    text = "No evidence of disorder number 7 of the left side.\nPLAN:\nDisorder number 8 of the left side. Disorder number 9 of the right side.\nLeft side?"
+    docs = spark.createDataFrame([(k, text) for k in range(50)], "id long, text string")  # of one text, so that their file is small
+    docs.coalesce(1).write.parquet(f"{tmp_path}/clinical_documents.parquet")
+    counted = note_queries.mention_sections(spark, str(tmp_path))
+    assert {tuple(r) for r in counted.collect()} == {("GENERAL", "NEGATED", 50), ("PLAN", "AFFIRMED", 50), ("PLAN", "UNCERTAIN", 50)}
+    assert not _broadcasts_notes(counted)  # neither in the first plan nor in the one that ran
+
+
 def test_index(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/sample_hospital_icd.parquet")
     made = index.build_index(rows)
